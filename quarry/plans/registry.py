@@ -255,3 +255,210 @@ def q_binary_vs_categorical(spark, sf):
 @query("dataset_overview")
 def q_dataset_overview(spark, sf):
     return r6(C.dataset_overview(T.doc_labels(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# 2-F text operators (documents: one row per document; conversations: one
+# conversation per document, one turn per page)
+# ---------------------------------------------------------------------------
+
+from quarry.operators import text_ops as TO  # noqa: E402
+from quarry.operators import text_pages as TP  # noqa: E402
+from quarry.operators import text_structure as TS  # noqa: E402
+from quarry.plans import documents as D  # noqa: E402
+
+
+def _docs(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _prep(spark, sf):
+    return D.prepared(_docs(spark, sf))
+
+
+def _pages(spark, sf):
+    return TP.scan_text_pages(_docs(spark, sf))
+
+
+@query("scan_text_pages")
+def q_scan_text_pages(spark, sf):
+    return _pages(spark, sf)
+
+
+@query("text_normalize")
+def q_text_normalize(spark, sf):
+    return TO.text_normalize(TP.doc_content(_docs(spark, sf)))
+
+
+@query("text_statistics")
+def q_text_statistics(spark, sf):
+    return r6(TO.text_statistics(_prep(spark, sf), "text", "n_pages"))
+
+
+@query("text_statistics_raw")
+def q_text_statistics_raw(spark, sf):
+    p = _prep(spark, sf)
+    return r6(TO.text_statistics(p, "content", "n_pages"))
+
+
+@query("tfidf_keywords")
+def q_tfidf_keywords(spark, sf):
+    return r6(TO.tfidf_keywords(_pages(spark, sf), 20))
+
+
+@query("tfidf_conversations")
+def q_tfidf_conversations(spark, sf):
+    return r6(TO.tfidf_keywords(TP.conversation_pages(T.table(spark, sf, "conversations")), 20))
+
+
+@query("keyphrases")
+def q_keyphrases(spark, sf):
+    return TO.keyphrases(_prep(spark, sf), "text", 10)
+
+
+def numbered_docs(spark, sf):
+    """documents whose every line is numbered ("3 Line text"), so heading rules fire."""
+    from quarry.functions.text import split_lines
+    d = _docs(spark, sf)
+    return d.select("doc_id", F.array_join(F.transform(split_lines(F.col("text")),
+                                                       lambda l, i: F.concat((i + 1).cast("string"), F.lit(" "), l)),
+                                           "\n").alias("text"))
+
+
+@query("headings")
+def q_headings(spark, sf):
+    return TO.headings(TP.scan_text_pages(numbered_docs(spark, sf), keep_newlines=True), 20)
+
+
+@query("domain_detect")
+def q_domain_detect(spark, sf):
+    return TO.domain_detect(_prep(spark, sf), "text")
+
+
+@query("document_type")
+def q_document_type(spark, sf):
+    return TO.document_type(_prep(spark, sf), "cleaned_text")
+
+
+@query("sentiment")
+def q_sentiment(spark, sf):
+    return TO.sentiment(_prep(spark, sf), "text")
+
+
+@query("sentiment_raw")
+def q_sentiment_raw(spark, sf):
+    return TO.sentiment(_docs(spark, sf), "text")
+
+
+@query("readability")
+def q_readability(spark, sf):
+    return r6(TO.readability(_prep(spark, sf), "content"))
+
+
+@query("nlp_keywords")
+def q_nlp_keywords(spark, sf):
+    return TO.nlp_keywords(_prep(spark, sf), "cleaned_text", 20, (1, 2))
+
+
+@query("nlp_bigrams")
+def q_nlp_bigrams(spark, sf):
+    return TO.nlp_keywords(_prep(spark, sf), "cleaned_text", 10, (2, 2))
+
+
+@query("nlp_word_stats")
+def q_nlp_word_stats(spark, sf):
+    return r6(TS.nlp_word_stats(_prep(spark, sf), "cleaned_text"))
+
+
+@query("summary_sentences")
+def q_summary_sentences(spark, sf):
+    return TS.summary_sentences(TP.scan_text_pages(_docs(spark, sf), keep_newlines=True))
+
+
+@query("repeated_header")
+def q_repeated_header(spark, sf):
+    return TP.repeated_header(TP.scan_text_pages(_docs(spark, sf), lines_per_page=1))
+
+
+@query("page_clean")
+def q_page_clean(spark, sf):
+    return TP.page_clean(TP.scan_text_pages(_docs(spark, sf), keep_newlines=True)).select(
+        "doc_id", "page_no", "clean_text")
+
+
+@query("page_chunk_words")
+def q_page_chunk_words(spark, sf):
+    return TP.page_chunk_words(_prep(spark, sf))
+
+
+@query("page_keywords")
+def q_page_keywords(spark, sf):
+    return TS.page_keywords(TP.page_clean(_pages(spark, sf)))
+
+
+@query("key_sentences")
+def q_key_sentences(spark, sf):
+    return r6(TS.key_sentences(TP.page_clean(_pages(spark, sf))))
+
+
+@query("page_breakdown")
+def q_page_breakdown(spark, sf):
+    b = TS.page_breakdown(_pages(spark, sf))
+    return b.select("doc_id", "page_no", "heading", F.array_join("keywords", ", ").alias("keywords"),
+                    "word_count", "summary")
+
+
+@query("page_heading")
+def q_page_heading(spark, sf):
+    clean = TP.page_clean(TP.scan_text_pages(numbered_docs(spark, sf), keep_newlines=True))
+    return clean.select("doc_id", "page_no", TS.heading_of(F.col("lines")).alias("heading"))
+
+
+@query("lexical_diversity")
+def q_lexical_diversity(spark, sf):
+    return r6(_prep(spark, sf).select("doc_id", *TO.lexical_diversity_cols(F.col("cleaned_text"))))
+
+
+@query("sentence_complexity")
+def q_sentence_complexity(spark, sf):
+    return r6(_prep(spark, sf).select("doc_id", *TO.sentence_complexity_cols(F.col("content"))))
+
+
+@query("term_density")
+def q_term_density(spark, sf):
+    p = _prep(spark, sf)
+    return r6(TO.term_density(p, TO.tfidf_keywords(_pages(spark, sf), 5), "cleaned_text", 5))
+
+
+@query("topic_coherence")
+def q_topic_coherence(spark, sf):
+    return r6(TO.topic_coherence(_pages(spark, sf), TO.tfidf_keywords(_pages(spark, sf), 10), 10))
+
+
+@query("linguistic_summary")
+def q_linguistic_summary(spark, sf):
+    return r6(D.linguistic_summary(_docs(spark, sf)))
+
+
+@query("research_sections")
+def q_research_sections(spark, sf):
+    return TS.research_sections(_docs(spark, sf))
+
+
+@query("section_clean")
+def q_section_clean(spark, sf):
+    return TS.research_sections_clean(_docs(spark, sf))
+
+
+@query("text_analysis")
+def q_text_analysis(spark, sf):
+    a = D.text_analysis(_docs(spark, sf))
+    return a.select("doc_id", "document_type", "executive_summary",
+                    F.array_join("key_insights", " || ").alias("key_insights"),
+                    F.array_join("recommendations", " || ").alias("recommendations"),
+                    F.array_join("keywords", ", ").alias("keywords"),
+                    F.array_join("keyphrases", ", ").alias("keyphrases"),
+                    F.array_join("topics", ", ").alias("topics"),
+                    F.size("sections").alias("n_sections"), "sentiment", "readability",
+                    F.round("readability_grade", 6).alias("readability_grade"),
+                    F.col("statistics.word_count").alias("word_count"))

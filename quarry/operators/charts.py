@@ -272,11 +272,11 @@ def value_frequency(df: DataFrame, col: str, top: int | None = None) -> DataFram
     counts = df.where(c.isNotNull()).groupBy(c.cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
     from pyspark.sql import Window
-    w = Window.orderBy(F.desc("count"), F.asc("value"))
-    out = counts.withColumn("rank", F.row_number().over(w))
     if top is not None:
-        out = out.where(F.col("rank") <= top)
-    return out
+        counts = counts.orderBy(F.desc("count"), F.asc("value")).limit(top)
+    # ranks over the distinct values of a (categorical) column
+    w = Window.orderBy(F.desc("count"), F.asc("value"))
+    return counts.withColumn("rank", F.row_number().over(w))
 
 
 # ---------------------------------------------------------------------------

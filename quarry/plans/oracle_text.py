@@ -369,3 +369,151 @@ np AS (SELECT doc_id, max(n_pages) AS n_pages FROM pages GROUP BY doc_id)
 SELECT np.doc_id, round(CASE WHEN np.n_pages <= 1 THEN 1.0 WHEN coalesce(nt.n_terms, 0) = 0 THEN 0.0
                              ELSE round(coalesce(hits.hits, 0) / (nt.n_terms * np.n_pages), 3) END, 6) AS coherence
 FROM np LEFT JOIN nt USING (doc_id) LEFT JOIN hits USING (doc_id)"""
+
+
+# ---------------------------------------------------------------------------
+# 2-D domain views over the alias fixtures
+# ---------------------------------------------------------------------------
+
+from quarry.plans.oracle import grouped_box_sql  # noqa: E402
+
+STROKE = ("SELECT l.toxic AS stroke, l.quality AS hypertension, d.n_chars::DOUBLE AS bmi, d.lang AS smoking_status "
+          "FROM labels l JOIN documents d USING (doc_id)")
+ASTHMA = ("SELECT l.toxic AS has_asthma, d.n_chars::DOUBLE AS bmi, l.quality::DOUBLE AS age, d.lang AS gender, "
+          "d.lang AS smoking_status FROM labels l JOIN documents d USING (doc_id)")
+DELIVERY = ("SELECT l_quantity AS distance_km, l_extendedprice AS delivery_time_min, l_returnflag AS traffic_level, "
+            "l_linestatus AS weather, l_linestatus AS vehicle_type FROM lineitem")
+WEATHER = ("SELECT o_orderdate AS date, o_totalprice AS temp_max, o_totalprice / 2 AS temp_min, "
+           "o_orderstatus AS weather FROM orders")
+SALES = ("SELECT p.p_type AS PRODUCTLINE, l.l_extendedprice AS SALES, l.l_shipdate AS ORDERDATE, "
+         "CASE WHEN l.l_quantity < 10 THEN 'Small' WHEN l.l_quantity < 35 THEN 'Medium' ELSE 'Large' END AS DEALSIZE "
+         "FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey")
+
+ORACLE["domain_dispatch"] = """SELECT * FROM (VALUES ('health', false), ('delivery', false), ('weather', false),
+  ('sales', false), ('asthma', false)) t(view, applies)
+UNION ALL SELECT 'text_terms', (avg(length(text)) > 60 OR count(DISTINCT text) > 30) AND avg(length(text)) > 40
+FROM documents"""
+
+ORACLE["health_counts"] = f"""WITH s AS ({STROKE}),
+l AS (SELECT CAST(stroke AS VARCHAR) AS stroke, 'hypertension' AS field, CAST(hypertension AS VARCHAR) AS value FROM s
+      UNION ALL SELECT CAST(stroke AS VARCHAR), 'smoking_status', smoking_status FROM s)
+SELECT field, value, stroke, count(*) AS count FROM l WHERE value IS NOT NULL AND stroke IS NOT NULL GROUP BY ALL"""
+
+ORACLE["health_distributions"] = grouped_box_sql(STROKE, "stroke", ["bmi"]).replace(
+    "SELECT target,", "SELECT target AS stroke,", 1)
+
+ORACLE["delivery_scatter_fit"] = ORACLE["linear_fit"]
+
+ORACLE["delivery_by_traffic"] = f"""WITH b AS ({grouped_box_sql(DELIVERY, 'traffic_level', ['delivery_time_min'])})
+SELECT q1, median, q3, whislo, whishi, n_fliers, n, min, max, target AS traffic_level,
+       (row_number() OVER (ORDER BY median, target))::INTEGER AS "order" FROM b"""
+
+ORACLE["delivery_by_weather"] = f"""WITH s AS ({DELIVERY}),
+g AS (SELECT CAST(weather AS VARCHAR) AS key, avg(delivery_time_min) AS value FROM s WHERE weather IS NOT NULL
+      GROUP BY 1)
+SELECT key, round(value, 6) AS value, (row_number() OVER (ORDER BY value DESC, key))::INTEGER AS "order" FROM g"""
+
+
+def month_fill(src: str, date: str, value: str, how: str) -> str:
+    agg = {"avg": f"avg({value})", "sum": f"sum({value})"}[how]
+    fill = "0.0" if how == "sum" else "NULL"
+    return f"""(WITH s AS ({src}),
+per AS (SELECT CAST(last_day({date}) AS TIMESTAMP) AS bucket, {agg}::DOUBLE AS value FROM s
+        WHERE {date} IS NOT NULL GROUP BY 1),
+rng AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM per),
+allb AS (SELECT CAST(last_day(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi),
+                                                     INTERVAL 1 MONTH))) AS TIMESTAMP) AS bucket FROM rng)
+SELECT allb.bucket, coalesce(per.value, {fill}) AS value FROM allb LEFT JOIN per USING (bucket))"""
+
+
+ORACLE["weather_monthly"] = f"""SELECT 'temp_max' AS measure, bucket, round(value, 6) AS mean
+FROM {month_fill(WEATHER, 'date', 'temp_max', 'avg')}
+UNION ALL SELECT 'temp_min', bucket, round(value, 6) FROM {month_fill(WEATHER, 'date', 'temp_min', 'avg')}"""
+
+ORACLE["weather_frequency"] = f"""WITH s AS ({WEATHER}),
+c AS (SELECT CAST(weather AS VARCHAR) AS value, count(*) AS count FROM s WHERE weather IS NOT NULL GROUP BY 1)
+SELECT value, count, (row_number() OVER (ORDER BY count DESC, value))::INTEGER AS rank FROM c"""
+
+ORACLE["weather_temp_range"] = f"""SELECT coalesce(a.bucket, b.bucket) AS bucket, round(a.value, 6) AS max_mean,
+       round(b.value, 6) AS min_mean
+FROM {month_fill(WEATHER, 'date', 'temp_max', 'avg')} a
+FULL JOIN {month_fill(WEATHER, 'date', 'temp_min', 'avg')} b USING (bucket)"""
+
+ORACLE["sales_by_productline"] = f"""WITH s AS ({SALES}),
+g AS (SELECT CAST(PRODUCTLINE AS VARCHAR) AS key, sum(SALES) AS value FROM s WHERE PRODUCTLINE IS NOT NULL GROUP BY 1)
+SELECT key, round(value, 6) AS value, (row_number() OVER (ORDER BY value DESC, key))::INTEGER AS "order" FROM g"""
+
+ORACLE["sales_monthly_trend"] = f"""SELECT bucket, round(value, 6) AS value
+FROM {month_fill(SALES, 'ORDERDATE', 'SALES', 'sum')}"""
+
+ORACLE["sales_deal_size"] = f"""WITH s AS ({SALES}),
+c AS (SELECT DEALSIZE AS value, count(*) AS count FROM s WHERE DEALSIZE IS NOT NULL GROUP BY 1)
+SELECT value, count, (row_number() OVER (ORDER BY count DESC, value))::INTEGER AS rank,
+       round(count * 100.0 / sum(count) OVER (), 6) AS pct FROM c"""
+
+ORACLE["asthma_box"] = grouped_box_sql(ASTHMA, "has_asthma", ["bmi", "age"])
+
+ORACLE["asthma_crosstab"] = f"""WITH s AS ({ASTHMA}),
+l AS (SELECT has_asthma, 'smoking_status' AS "column", smoking_status AS value FROM s
+      UNION ALL SELECT has_asthma, 'gender', gender FROM s),
+c AS (SELECT "column", value, CAST(has_asthma AS VARCHAR) AS target, count(*) AS count FROM l
+      WHERE value IS NOT NULL AND has_asthma IS NOT NULL GROUP BY ALL)
+SELECT *, round(count / sum(count) OVER (PARTITION BY "column", value), 6) AS share FROM c"""
+
+ORACLE["text_column_terms"] = f"""WITH w AS (SELECT unnest({minus(az('text', 4), CHART)}) AS term FROM documents),
+c AS (SELECT term, count(*) AS count FROM w GROUP BY term),
+r AS (SELECT *, (row_number() OVER (ORDER BY count DESC, term))::INTEGER AS rank FROM c)
+SELECT term, count, rank FROM r WHERE rank <= 15"""
+
+ORACLE["label_distribution"] = """WITH c AS (SELECT lang AS value, count(*) AS count FROM documents
+                 WHERE lang IS NOT NULL GROUP BY 1),
+r AS (SELECT *, (row_number() OVER (ORDER BY count DESC, value))::INTEGER AS rank FROM c)
+SELECT value, count, rank FROM r WHERE rank <= 10"""
+
+# ---------------------------------------------------------------------------
+# 2-E outliers
+# ---------------------------------------------------------------------------
+
+
+def iqr_sql(src: str, cols, health: bool) -> str:
+    qs = ", ".join(f"quantile_cont({c}::DOUBLE, 0.25) AS a{i}, quantile_cont({c}::DOUBLE, 0.75) AS b{i}"
+                   for i, c in enumerate(cols))
+    flag = " OR ".join(f"({c}::DOUBLE < a{i} - 1.5 * (b{i} - a{i}) OR {c}::DOUBLE > b{i} + 1.5 * (b{i} - a{i}))"
+                       for i, c in enumerate(cols))
+    desc = ("CASE WHEN sev = 'low' THEN " + q(L.IQR_SEVERITY_DESC["low"]) + " WHEN sev = 'moderate' THEN "
+            + q(L.IQR_SEVERITY_DESC["moderate"]) + " ELSE " + q(L.IQR_SEVERITY_DESC["high"]) + " END")
+    if health:
+        summ = ("'Anomaly detection completed. ' || n_anomalies || ' unusual records were identified out of ' || "
+                "format('{:,}', total) || ' total records (' || CAST(pct AS VARCHAR) || '% anomaly rate). Anomaly "
+                "severity is assessed as ' || sev || '. ' || " + desc + " || ' Overall, the dataset is suitable for "
+                "clinical trend review, patient segmentation, anomaly detection, and healthcare analysis.'")
+    else:
+        summ = ("'Anomaly detection completed using IQR mathematical method. ' || n_anomalies || ' unusual records "
+                "were identified out of ' || format('{:,}', total) || ' total records (' || CAST(pct AS VARCHAR) || "
+                "'% anomaly rate). Severity: ' || sev || '. ' || " + desc)
+    return f"""WITH s AS ({src}), qq AS (SELECT {qs} FROM s),
+a AS (SELECT count_if(coalesce({flag}, false)) AS n_anomalies, count(*) AS total FROM s CROSS JOIN qq),
+b AS (SELECT *, round(n_anomalies * 100.0 / total, 2) AS pct FROM a),
+c AS (SELECT *, CASE WHEN pct < 3 THEN 'low' WHEN pct < 10 THEN 'moderate' ELSE 'high' END AS sev FROM b)
+SELECT n_anomalies, total, pct AS anomaly_pct, sev AS severity, {summ} AS summary FROM c"""
+
+
+ORACLE["anomaly_iqr"] = iqr_sql("SELECT * FROM events", ["event_id", "user_id", "value"], False)
+ORACLE["anomaly_iqr_health"] = iqr_sql(f"SELECT DISTINCT * FROM ({STROKE})", ["stroke", "hypertension", "bmi"], True)
+
+ORACLE["anomaly_severity"] = f"""WITH r AS ({ORACLE['anomaly_iqr']})
+SELECT anomaly_pct, CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 8 THEN 'moderate' ELSE 'high' END
+         AS forest_scale,
+       CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 10 THEN 'moderate' ELSE 'high' END AS iqr_scale
+FROM r"""
+
+_ENT, _LOW, _MID, _HIGH = L.ANOMALY_PHRASES["sales"]
+ORACLE["anomaly_narrative"] = f"""WITH r AS ({iqr_sql('SELECT * FROM lineitem', ['l_orderkey', 'l_partkey',
+                                                                    'l_suppkey', 'l_linenumber', 'l_quantity'],
+                                                     False)}),
+s AS (SELECT *, CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 8 THEN 'moderate' ELSE 'high' END AS sev2
+      FROM r)
+SELECT 'sales' AS domain, 'Anomaly detection completed. ' || n_anomalies || ' unusual {_ENT} were identified out of '
+       || total || ' total records (' || CAST(anomaly_pct AS VARCHAR) || '% anomaly rate). Anomaly severity is '
+       || 'assessed as ' || sev2 || '. ' || CASE sev2 WHEN 'low' THEN {q(_LOW)} WHEN 'moderate' THEN {q(_MID)}
+       ELSE {q(_HIGH)} END AS ml_result FROM s"""

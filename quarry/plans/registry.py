@@ -462,3 +462,131 @@ def q_text_analysis(spark, sf):
                     F.size("sections").alias("n_sections"), "sentiment", "readability",
                     F.round("readability_grade", 6).alias("readability_grade"),
                     F.col("statistics.word_count").alias("word_count"))
+
+
+# ---------------------------------------------------------------------------
+# 2-D domain views (alias views over the driver tables, see sources.tables)
+# ---------------------------------------------------------------------------
+
+from quarry.operators import anomaly as AN  # noqa: E402
+from quarry.operators import domains as DV  # noqa: E402
+
+
+@query("domain_dispatch")
+def q_domain_dispatch(spark, sf):
+    return DV.domain_dispatch(T.table(spark, sf, "documents"))
+
+
+@query("health_counts")
+def q_health_counts(spark, sf):
+    return DV.health_counts(T.stroke_view(spark, sf))
+
+
+@query("health_distributions")
+def q_health_distributions(spark, sf):
+    return r6(DV.health_distributions(T.stroke_view(spark, sf)))
+
+
+@query("delivery_scatter_fit")
+def q_delivery_scatter_fit(spark, sf):
+    return r6(DV.delivery_scatter_fit(T.delivery_view(spark, sf)))
+
+
+@query("delivery_by_traffic")
+def q_delivery_by_traffic(spark, sf):
+    return r6(DV.delivery_by_traffic(T.delivery_view(spark, sf)))
+
+
+@query("delivery_by_weather")
+def q_delivery_by_weather(spark, sf):
+    return r6(DV.delivery_by_weather(T.delivery_view(spark, sf)))
+
+
+@query("weather_monthly")
+def q_weather_monthly(spark, sf):
+    return r6(DV.weather_monthly(T.weather_view(spark, sf)))
+
+
+@query("weather_frequency")
+def q_weather_frequency(spark, sf):
+    return DV.weather_frequency(T.weather_view(spark, sf))
+
+
+@query("weather_temp_range")
+def q_weather_temp_range(spark, sf):
+    return r6(DV.weather_temp_range(T.weather_view(spark, sf)))
+
+
+@query("sales_by_productline")
+def q_sales_by_productline(spark, sf):
+    return r6(DV.sales_by_productline(T.sales_view(spark, sf)))
+
+
+@query("sales_monthly_trend")
+def q_sales_monthly_trend(spark, sf):
+    return r6(DV.sales_monthly_trend(T.sales_view(spark, sf)))
+
+
+@query("sales_deal_size")
+def q_sales_deal_size(spark, sf):
+    return r6(DV.sales_deal_size(T.sales_view(spark, sf)))
+
+
+@query("asthma_box")
+def q_asthma_box(spark, sf):
+    return r6(DV.asthma_box(T.asthma_view(spark, sf)))
+
+
+@query("asthma_crosstab")
+def q_asthma_crosstab(spark, sf):
+    return r6(DV.asthma_crosstab(T.asthma_view(spark, sf)))
+
+
+@query("text_column_terms")
+def q_text_column_terms(spark, sf):
+    return DV.text_column_terms(T.table(spark, sf, "documents"), "text", 15)
+
+
+@query("label_distribution")
+def q_label_distribution(spark, sf):
+    return DV.label_distribution(T.table(spark, sf, "documents"), "lang", 10)
+
+
+# ---------------------------------------------------------------------------
+# 2-E outliers
+# ---------------------------------------------------------------------------
+
+@query("anomaly_iqr")
+def q_anomaly_iqr(spark, sf):
+    return AN.anomaly_iqr(CL.clean_table(T.table(spark, sf, "events")).df)
+
+
+@query("anomaly_iqr_health")
+def q_anomaly_iqr_health(spark, sf):
+    return AN.anomaly_iqr(CL.clean_table(T.stroke_view(spark, sf)).df)
+
+
+@query("anomaly_severity")
+def q_anomaly_severity(spark, sf):
+    r = AN.anomaly_iqr(CL.clean_table(T.table(spark, sf, "events")).df)
+    return r.select("anomaly_pct", AN.severity_expr(F.col("anomaly_pct"), 3.0, 8.0).alias("forest_scale"),
+                    AN.severity_expr(F.col("anomaly_pct"), 3.0, 10.0).alias("iqr_scale"))
+
+
+@query("anomaly_narrative")
+def q_anomaly_narrative(spark, sf):
+    li = CL.clean_table(T.table(spark, sf, "lineitem")).df
+    r = AN.anomaly_iqr(li)
+    dom = P.domain_from_names(li.columns)
+    sev = AN.severity_expr(F.col("anomaly_pct"), 3.0, 8.0)
+    return r.select(F.lit(dom).alias("domain"), AN.narrative_expr(
+        F.col("n_anomalies"), F.col("total"), F.col("anomaly_pct"), sev, dom).alias("ml_result"))
+
+
+@query("anomaly_iforest")
+def q_anomaly_iforest(spark, sf):
+    cl = CL.clean_table(T.table(spark, sf, "lineitem"))
+    prof = C.TableProfile.of(cl.df)
+    feats = [c for c in prof.by_basic_role("numeric")]
+    dom = P.domain_from_names(cl.df.columns)
+    return AN.anomaly_iforest(cl.df, feats, domain=dom)

@@ -517,3 +517,47 @@ SELECT 'sales' AS domain, 'Anomaly detection completed. ' || n_anomalies || ' un
        || total || ' total records (' || CAST(anomaly_pct AS VARCHAR) || '% anomaly rate). Anomaly severity is '
        || 'assessed as ' || sev2 || '. ' || CASE sev2 WHEN 'low' THEN {q(_LOW)} WHEN 'moderate' THEN {q(_MID)}
        ELSE {q(_HIGH)} END AS ml_result FROM s"""
+
+
+# ---------------------------------------------------------------------------
+# 2-A, 2-H
+# ---------------------------------------------------------------------------
+
+ORACLE["json_flatten"] = """SELECT event_id AS doc_id, j.key AS path, j.key || ': ' || j.value AS line
+FROM events, json_each(props) AS j"""
+
+HISTORY = ("SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS file_name, "
+           "floor(o_totalprice * 100)::BIGINT AS file_size, o_orderstatus AS file_type, "
+           "'Report for order ' || o_orderkey AS insights, o_orderstatus = 'F' AS has_report, "
+           "o_orderdate AS upload_date FROM orders")
+SETTINGS = ("SELECT o_orderkey AS id, o_orderstatus AS analysis_type, o_orderpriority AS report_format, "
+            "CASE WHEN o_totalprice > 100000 THEN 'Enabled' ELSE 'Disabled' END AS visual_charts, "
+            "o_orderdate AS created_at FROM orders")
+
+ORACLE["history_list"] = f"""WITH h AS ({HISTORY})
+SELECT user_id, id, (row_number() OVER (PARTITION BY user_id ORDER BY id DESC))::INTEGER AS position FROM h"""
+
+ORACLE["history_search"] = f"""WITH h AS ({HISTORY}),
+m AS (SELECT * FROM h WHERE file_name ILIKE '%urgent%' OR file_type ILIKE '%urgent%' OR insights ILIKE '%urgent%')
+SELECT user_id, id, file_name, (row_number() OVER (PARTITION BY user_id ORDER BY id DESC))::INTEGER AS position
+FROM m"""
+
+ORACLE["history_kpis"] = f"""WITH h AS ({HISTORY}),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rk FROM h)
+SELECT user_id, count(*) AS total_uploads, count_if(has_report) AS total_reports,
+       string_agg(CASE WHEN rk <= 5 THEN CAST(id AS VARCHAR) END, ',' ORDER BY rk) AS recent_ids
+FROM r GROUP BY user_id"""
+
+ORACLE["history_get"] = f"""WITH h AS ({HISTORY})
+SELECT id, user_id, file_name, file_type, insights, upload_date FROM h
+WHERE id IN (1, 2, 3, 4, 5, 32, 33, 34, 35, 36, 37, 38, 39)"""
+
+ORACLE["history_duplicate"] = f"""WITH h AS ({HISTORY})
+SELECT file_name, file_size, max(id) AS existing_id FROM h GROUP BY file_name, file_size"""
+
+ORACLE["settings_latest"] = f"""WITH s AS ({SETTINGS})
+SELECT * FROM s ORDER BY id DESC LIMIT 1"""
+
+ORACLE["settings_upsert"] = f"""WITH s AS ({SETTINGS})
+SELECT * FROM s WHERE id <> (SELECT max(id) FROM s)
+UNION ALL SELECT max(id), 'full', 'Detailed Report', 'Enabled', TIMESTAMP '2024-01-01 00:00:00' FROM s"""

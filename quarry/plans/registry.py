@@ -590,3 +590,176 @@ def q_anomaly_iforest(spark, sf):
     feats = [c for c in prof.by_basic_role("numeric")]
     dom = P.domain_from_names(cl.df.columns)
     return AN.anomaly_iforest(cl.df, feats, domain=dom)
+
+
+# ---------------------------------------------------------------------------
+# 2-A sources and sinks
+# ---------------------------------------------------------------------------
+
+from quarry.operators import history as H  # noqa: E402
+from quarry.operators import report as RP  # noqa: E402
+from quarry.sources import files as FS  # noqa: E402
+from quarry.sources import sinks as SK  # noqa: E402
+
+
+@query("scan_route")
+def q_scan_route(spark, sf):
+    r = FS.scan_route(spark, sf)
+    return r.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "extension", "file_type",
+                    "accepted", "empty")
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf):
+    loc = SK.roundtrip_csv(T.table(spark, sf, "orders"), spark)
+    return FS.scan_csv(spark, loc)
+
+
+@query("scan_json_records")
+def q_scan_json_records(spark, sf):
+    loc = SK.roundtrip_json(T.table(spark, sf, "events"), spark)
+    return FS.scan_json_records(spark, loc)
+
+
+@query("json_flatten")
+def q_json_flatten(spark, sf):
+    return FS.json_flatten(T.table(spark, sf, "events"), "event_id", "props")
+
+
+@query("json_scalar_page")
+def q_json_scalar_page(spark, sf):
+    # the embedding vectors as JSON arrays: non-object JSON -> one pretty page
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("j"))
+    return FS.json_scalar_page(e, "vec_id", "j")
+
+
+@query("report_sections")
+def q_report_sections(spark, sf):
+    a = D.text_analysis(_docs(spark, sf))
+    return RP.report_sections(a, "Document")
+
+
+@query("breakdown_serialize")
+def q_breakdown_serialize(spark, sf):
+    return RP.breakdown_serialize_pages(TS.page_breakdown(_pages(spark, sf)))
+
+
+@query("breakdown_split")
+def q_breakdown_split(spark, sf):
+    s = RP.breakdown_serialize_pages(TS.page_breakdown(_pages(spark, sf)))
+    return RP.breakdown_split(s)
+
+
+@query("sink_chart_tables")
+def q_sink_chart_tables(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    loc = SK.scratch_dir(spark, "charts")
+    written = SK.sink_chart_tables({"numeric_histogram": C.numeric_histogram(li)}, loc)
+    return spark.read.parquet(written["numeric_histogram"])
+
+
+@query("sink_history_append")
+def q_sink_history_append(spark, sf):
+    loc = SK.scratch_dir(spark, "history")
+    SK.sink_history_append(T.history_view(spark, sf).drop("id"), loc)
+    return spark.read.parquet(loc).groupBy("file_type").agg(F.count(F.lit(1)).alias("reports"))
+
+
+# ---------------------------------------------------------------------------
+# 2-G reports
+# ---------------------------------------------------------------------------
+
+@query("table_insights")
+def q_table_insights(spark, sf):
+    t = RP.table_insights(P.table_summary(CL.clean_table(T.table(spark, sf, "lineitem")).df))
+    return t.select("executive_summary", F.array_join("key_insights", " || ").alias("key_insights"),
+                    F.array_join("recommendations", " || ").alias("recommendations"))
+
+
+@query("table_report_summary")
+def q_table_report_summary(spark, sf):
+    li = CL.clean_table(T.table(spark, sf, "lineitem")).df
+    return RP.table_report(P.table_summary(li)).select("executive_summary")
+
+
+@query("table_report_insights")
+def q_table_report_insights(spark, sf):
+    li = CL.clean_table(T.table(spark, sf, "lineitem")).df
+    return RP.table_report(P.table_summary(li)).select(F.array_join("key_insights", " || ").alias("key_insights"))
+
+
+@query("table_report_recs")
+def q_table_report_recs(spark, sf):
+    li = CL.clean_table(T.table(spark, sf, "lineitem")).df
+    return RP.table_report(P.table_summary(li)).select(
+        F.array_join("recommendations", " || ").alias("recommendations"))
+
+
+@query("table_report_full")
+def q_table_report_full(spark, sf):
+    cl = CL.clean_table(T.table(spark, sf, "lineitem"))
+    prof = C.TableProfile.of(cl.df)
+    an = AN.anomaly_iforest(cl.df, prof.by_basic_role("numeric"), domain=P.domain_from_names(cl.df.columns))
+    r = RP.table_report(P.table_summary(cl.df), an)
+    return r.select("executive_summary", F.array_join("key_insights", " || ").alias("key_insights"),
+                    F.array_join("recommendations", " || ").alias("recommendations"))
+
+
+@query("doc_report")
+def q_doc_report(spark, sf):
+    d = _docs(spark, sf)
+    rep = RP.doc_report(D.text_analysis(d), D.linguistic_summary(d), TS.research_sections_clean(
+        TP.doc_content(d).withColumnRenamed("content", "text")), TO.document_type(_prep(spark, sf), "cleaned_text"))
+    return rep.select("doc_id", "executive_summary", F.array_join("key_insights", " || ").alias("key_insights"),
+                      F.array_join("recommendations", " || ").alias("recommendations"))
+
+
+@query("report_select")
+def q_report_select(spark, sf):
+    a = D.text_analysis(_docs(spark, sf))
+    r = RP.report_select(a.select("doc_id", "executive_summary", "key_insights", "recommendations"),
+                         ["Detailed Report"])
+    return r.select("doc_id", F.size("key_insights").alias("n_insights"),
+                    F.size("recommendations").alias("n_recommendations"))
+
+
+# ---------------------------------------------------------------------------
+# 2-H history
+# ---------------------------------------------------------------------------
+
+@query("history_list")
+def q_history_list(spark, sf):
+    return H.history_list(T.history_view(spark, sf)).select("user_id", "id", "position")
+
+
+@query("history_search")
+def q_history_search(spark, sf):
+    return H.history_search(T.history_view(spark, sf), "urgent").select("user_id", "id", "file_name", "position")
+
+
+@query("history_kpis")
+def q_history_kpis(spark, sf):
+    return H.history_kpis(T.history_view(spark, sf))
+
+
+@query("history_get")
+def q_history_get(spark, sf):
+    h = T.history_view(spark, sf)
+    return H.history_get(h, [1, 2, 3, 4, 5, 32, 33, 34, 35, 36, 37, 38, 39])
+
+
+@query("history_duplicate")
+def q_history_duplicate(spark, sf):
+    return H.history_duplicate(T.history_view(spark, sf))
+
+
+@query("settings_latest")
+def q_settings_latest(spark, sf):
+    return H.settings_latest(T.settings_view(spark, sf))
+
+
+@query("settings_upsert")
+def q_settings_upsert(spark, sf):
+    import datetime
+    return H.settings_upsert(T.settings_view(spark, sf), "full", "Detailed Report", "Enabled",
+                             datetime.datetime(2024, 1, 1))

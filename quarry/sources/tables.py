@@ -112,3 +112,24 @@ def events_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "click", F.col("value").cast("string"))
         .otherwise(F.col("event_type")).alias("mixed"),
         "value")
+
+
+def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report-history table derived from orders (one report per order)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+        F.col("o_orderpriority").alias("file_name"), F.floor(F.col("o_totalprice") * 100).cast("bigint").alias("file_size"),
+        F.col("o_orderstatus").alias("file_type"),
+        F.concat(F.lit("Report for order "), F.col("o_orderkey").cast("string")).alias("insights"),
+        (F.col("o_orderstatus") == "F").alias("has_report"), F.col("o_orderdate").alias("upload_date"))
+
+
+def settings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings table derived from orders (one saved setting per order)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("analysis_type"),
+        F.col("o_orderpriority").alias("report_format"),
+        F.when(F.col("o_totalprice") > 100000, "Enabled").otherwise("Disabled").alias("visual_charts"),
+        F.col("o_orderdate").alias("created_at"))

@@ -15,8 +15,24 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Ensure the scan feeds every core.
+
+    A table stored as one file with one row group is read by a single task,
+    and every row-local operator after it (tokenising, paging, profiling)
+    would then run single-threaded.  When the scan has fewer splits than the
+    cluster has cores, rows are spread round-robin; on a large table (many
+    splits) this never triggers.  Filters and column pruning still reach the
+    Parquet scan through a round-robin repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:

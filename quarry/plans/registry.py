@@ -19,6 +19,12 @@ from quarry.sources import tables as T
 
 QUERIES: dict = {}
 
+# Column choices for the chart queries on lineitem.  The role rules that pick
+# them on a fresh table are checked by ``roles_profile``; fixing them here
+# keeps each chart query comparable across scale factors.
+LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+LI_CATEGORICAL = ["l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
 
 def query(key: str):
     def deco(fn):
@@ -174,7 +180,8 @@ def q_col_top_values(spark, sf):
 
 @query("numeric_histogram")
 def q_numeric_histogram(spark, sf):
-    return r6(C.numeric_histogram(T.table(spark, sf, "lineitem")))
+    li = T.table(spark, sf, "lineitem")
+    return r6(C.numeric_histogram(li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC))))
 
 
 @query("numeric_kde")
@@ -184,12 +191,13 @@ def q_numeric_kde(spark, sf):
 
 @query("box_stats")
 def q_box_stats(spark, sf):
-    return r6(C.box_stats(T.table(spark, sf, "lineitem"), exact=True))
+    li = T.table(spark, sf, "lineitem")
+    return r6(C.box_stats(li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC)), exact=True))
 
 
 @query("categorical_counts")
 def q_categorical_counts(spark, sf):
-    return r6(C.categorical_counts(T.table(spark, sf, "lineitem")))
+    return r6(C.categorical_counts(T.table(spark, sf, "lineitem"), cols=LI_CATEGORICAL))
 
 
 @query("trend_granularity")
@@ -220,12 +228,12 @@ def q_year_month_pivot(spark, sf):
 
 @query("correlation_matrix")
 def q_correlation_matrix(spark, sf):
-    return r6(C.correlation_matrix(T.table(spark, sf, "lineitem")))
+    return r6(C.correlation_matrix(T.table(spark, sf, "lineitem"), cols=LI_NUMERIC))
 
 
 @query("top_correlated_pairs")
 def q_top_correlated_pairs(spark, sf):
-    return r6(C.top_correlated_pairs(T.table(spark, sf, "lineitem")))
+    return r6(C.top_correlated_pairs(T.table(spark, sf, "lineitem"), cols=LI_NUMERIC))
 
 
 @query("pair_scatter")

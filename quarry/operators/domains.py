@@ -78,8 +78,10 @@ def delivery_by_traffic(df: DataFrame) -> DataFrame:
 def mean_by(df: DataFrame, key: str, value: str, how: str = "avg") -> DataFrame:
     """Mean (or sum) of ``value`` per ``key``, largest first."""
     agg = F.avg if how == "avg" else F.sum
+    # exact decimal accumulation: the result does not depend on how rows are
+    # spread over tasks (a double sum changes in its last bits with the order)
     g = df.where(_c(key).isNotNull()).groupBy(_c(key).cast("string").alias("key")).agg(
-        agg(_c(value).cast("double")).alias("value"))
+        agg(_c(value).cast("decimal(38,10)")).cast("double").alias("value"))
     w = Window.orderBy(F.desc("value"), "key")
     return g.withColumn("order", F.row_number().over(w))
 

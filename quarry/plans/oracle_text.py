@@ -409,8 +409,8 @@ SELECT q1, median, q3, whislo, whishi, n_fliers, n, min, max, target AS traffic_
        (row_number() OVER (ORDER BY median, target))::INTEGER AS "order" FROM b"""
 
 ORACLE["delivery_by_weather"] = f"""WITH s AS ({DELIVERY}),
-g AS (SELECT CAST(weather AS VARCHAR) AS key, avg(delivery_time_min) AS value FROM s WHERE weather IS NOT NULL
-      GROUP BY 1)
+g AS (SELECT CAST(weather AS VARCHAR) AS key, avg(delivery_time_min::DECIMAL(38, 10))::DOUBLE AS value FROM s
+      WHERE weather IS NOT NULL GROUP BY 1)
 SELECT key, round(value, 6) AS value, (row_number() OVER (ORDER BY value DESC, key))::INTEGER AS "order" FROM g"""
 
 
@@ -440,7 +440,8 @@ FROM {month_fill(WEATHER, 'date', 'temp_max', 'avg')} a
 FULL JOIN {month_fill(WEATHER, 'date', 'temp_min', 'avg')} b USING (bucket)"""
 
 ORACLE["sales_by_productline"] = f"""WITH s AS ({SALES}),
-g AS (SELECT CAST(PRODUCTLINE AS VARCHAR) AS key, sum(SALES) AS value FROM s WHERE PRODUCTLINE IS NOT NULL GROUP BY 1)
+g AS (SELECT CAST(PRODUCTLINE AS VARCHAR) AS key, sum(SALES::DECIMAL(38, 10))::DOUBLE AS value FROM s
+      WHERE PRODUCTLINE IS NOT NULL GROUP BY 1)
 SELECT key, round(value, 6) AS value, (row_number() OVER (ORDER BY value DESC, key))::INTEGER AS "order" FROM g"""
 
 ORACLE["sales_monthly_trend"] = f"""SELECT bucket, round(value, 6) AS value

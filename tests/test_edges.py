@@ -130,3 +130,19 @@ def test_text_plans_stay_in_jvm(spark):
     docs = spark.createDataFrame([(1, "Some text here.\nMore text.")], "doc_id long, text string")
     plan = D.text_analysis(docs)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_document_stream(spark):
+    import os
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    from quarry.streaming.ingest import start_document_stream
+    base = os.path.join(checkpoint_dir(spark), f"stream-test-{uuid.uuid4().hex}")
+    src, out = os.path.join(base, "in"), os.path.join(base, "out")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text") \
+        .write.parquet(src)
+    q = start_document_stream(spark, src, out, name=f"t{uuid.uuid4().hex[:8]}", trigger_once=True)
+    q.awaitTermination(300)
+    n_docs = spark.read.parquet(src).count()
+    assert spark.read.parquet(out).select("doc_id").distinct().count() == n_docs

@@ -55,7 +55,7 @@ def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) ->
         elif approx:
             nd = F.approx_count_distinct(c).cast("bigint")
         else:
-            nd = F.count_distinct(c).cast("bigint")
+            nd = F.lit(None).cast("bigint")  # exact counts come from distinct_counts()
         if k == "temporal":
             dmin, dmax, dok = F.min(c).cast("timestamp"), F.max(c).cast("timestamp"), F.lit(True)
         elif k == "string" and _name_has(f.name, L.PROFILE_DATETIME_PATTERNS + L.BASIC_DATE_PATTERNS):
@@ -85,7 +85,29 @@ def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) ->
             stats[3].alias("std"), stats[4].alias("skew"), alen.alias("avg_len"),
             dmin.alias("dt_min"), dmax.alias("dt_max"), dok.alias("dt_ok"),
         ))
-    return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
+    stats = df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
+    exact = [f.name for f in df.schema.fields if kind_of(f.dataType) != "other"]
+    if not distinct or approx or not exact:
+        return stats
+    nd = distinct_counts(df, exact)
+    # one row per column on both sides: the join is bounded by the column count
+    return (stats.drop("n_distinct").join(F.broadcast(nd), "column", "left")
+            .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
+            .select(*[f.split()[0] for f in STATS_SCHEMA.split(", ")]))
+
+
+def distinct_counts(df: DataFrame, cols) -> DataFrame:
+    """Exact distinct non-null values per column in one pass.
+
+    Values are unpivoted to (column, value-as-text) and deduplicated with a
+    groupBy (partial aggregation inside each task first), then counted per
+    column.  This avoids the Expand rewrite of many ``count(DISTINCT ...)``
+    in one aggregate, which drags every other aggregate through each copy.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])))
+    return (long.where(F.col("v").isNotNull()).distinct()
+            .groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct")))
 
 
 def _contains_any(col: Column, patterns) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(top):  # else the package came from such an archive itself
+        archive = os.path.join(tempfile.mkdtemp(prefix="quarry-code-"), "quarry_code.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(top)))
+        sc.addPyFile(archive)
+    sc._quarry_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; a null id falls in fold 1 (never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(1))
@@ -54,7 +80,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.large_binary())
     elif pa.types.is_string(column.type):
-        column = column.cast(pa.binary())
+        column = column.cast(pa.binary())  # bytes stay where they are
     return [x if x is not None else b"" for x in column.to_pylist()]
 
 
@@ -65,3 +91,39 @@ def bind(value: Column, body) -> Column:
     element; as the single element of an array it is bound to a variable.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+class Memo(dict):
+    """A bounded memo of ``make(key)`` for keys that repeat (words).
+
+    Two generations: when the young one is full it becomes the old one, and
+    keys still in use move back on their next use.  Only speed depends on it.
+    """
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def slices(batches, most: int = 4 << 20, column: str = "text"):
+    """Arrow batches cut into parts of about ``most`` bytes of text (one row at least)."""
+    for batch in batches:
+        lengths = [len(x) for x in text_bytes(batch.column(column))]
+        start, total = 0, 0
+        for i, n in enumerate(lengths):
+            if total and total + n > most:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < len(lengths):
+            yield batch.slice(start)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, url_filter
+from . import exact_topk, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, url_filter
 from .common import documents
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": _on_documents(sentencepiece_codec.query),
     "op2_url_filter": lambda spark, d: url_filter.judge(spark.read.parquet(f"{d}/pages.parquet")),
     "op3_packing": _on_documents(packing.query),
+    "op4_exact_topk": lambda spark, d: exact_topk.query(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op6_line_dedup": _on_documents(line_dedup.query),
     "op8_quality_rules": _on_documents(quality_rules.query),
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_sentencepiece": _on_documents(sentencepiece_codec.query),
     "op2_url_filter": url_filter.oracle_sql(),
+    "op4_exact_topk": exact_topk.oracle_sql(),
     "op6_line_dedup": line_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
 }

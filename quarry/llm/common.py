@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,3 +128,27 @@ def slices(batches, most: int = 4 << 20, column: str = "text"):
             total += n
         if start < len(lengths):
             yield batch.slice(start)
+
+
+class Words:
+    """Numbers words and keeps one row of values per word (bounded; starts anew when full)."""
+
+    def __init__(self, limit: int, width: int, rows):
+        self.limit, self.rows, self.width = limit, rows, width
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.table = {}, np.zeros((1024, self.width), np.float32)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) > self.limit:
+            self.clear()
+        index = self.index
+        new = list(set(words) - index.keys())
+        if new:
+            start = len(index)
+            index.update(zip(new, range(start, start + len(new))))
+            if len(index) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(index), 2 * len(self.table)) - len(self.table), self.width), np.float32)])
+            self.table[start:start + len(new)] = self.rows(new)
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))

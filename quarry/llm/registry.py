@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, url_filter
+from . import exact_topk, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, url_filter
 from .common import documents
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def _on_documents(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(documents(spark, sf_dir))
 
@@ -22,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": _on_documents(line_dedup.query),
     "op8_quality_rules": _on_documents(quality_rules.query),
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
+    "op10_quality_knn": lambda spark, d: quality_knn.query(documents(spark, d), _labels(spark, d)),
 }
 
 ORACLE: dict[str, str] = {

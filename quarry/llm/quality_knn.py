@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, fold_of, map_arrow, slices, text_bytes
+from .labels import labelled_sample
 
 FOLDS = 5  # documents of fold 0 are held out
 SAMPLE = 1500  # labelled documents of each label
@@ -88,16 +89,6 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("label", "text"), run, "label int, i binary, n binary")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, size: int = SAMPLE) -> DataFrame:
-    """At most ``size`` training documents of each label 0 and 1, by the smallest id hashes: label, text."""
-    rows = (labels.select("doc_id", F.col(label_col).cast("int").alias("label"))
-            .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != 0))
-            .groupBy("doc_id").agg(F.max("label").alias("label")))
-    pick = lambda k: rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    chosen = pick(0).unionByName(pick(1))  # at most 2 * size rows
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-
-
 class Model:
     """Latent axes per feature, and the sample's unit vectors with their labels."""
 
@@ -143,7 +134,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = _term_counts(labelled_sample(docs, labels, label_col, sample)).collect()  # at most 2 * sample, FEATURES entries each
+    rows = _term_counts(labelled_sample(docs, labels, label_col, sample, FOLDS)).collect()  # at most 2 * sample, FEATURES entries each
     return Model(sorted((r.label, bytes(r.i), bytes(r.n)) for r in rows))
 
 

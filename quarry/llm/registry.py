@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, toxicity_gru, url_filter
+from . import exact_topk, line_dedup, lm_mixing, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, toxicity_gru, url_filter
 from .common import documents
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": lambda spark, d: exact_topk.query(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op5_toxicity": lambda spark, d: toxicity_gru.query(documents(spark, d), _labels(spark, d)),
     "op6_line_dedup": _on_documents(line_dedup.query),
+    "op7_lm_mixing": _on_documents(lm_mixing.query),
     "op8_quality_rules": _on_documents(quality_rules.query),
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
     "op10_quality_knn": lambda spark, d: quality_knn.query(documents(spark, d), _labels(spark, d)),

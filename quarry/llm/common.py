@@ -8,6 +8,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ class Memo(dict):
 def slices(batches, most: int = 4 << 20, column: str = "text"):
     """Arrow batches cut into parts of about ``most`` bytes of text (one row at least)."""
     for batch in batches:
-        lengths = [len(x) for x in text_bytes(batch.column(column))]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(lengths):
             if total and total + n > most:

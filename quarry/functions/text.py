@@ -1,8 +1,9 @@
 """Column-expression builders shared by the text operators.
 
 All of these are native Spark SQL expressions (regex, split, higher-order
-array functions), so they run inside whole-stage codegen and never leave the
-JVM.  A document or a page is one row; the array functions work inside that
+array functions) and never leave the JVM; lambda functions are interpreted, so
+an array they refer to must be bound once (``bound``), or it would be built
+again for every element.  A document or a page is one row; the array functions work inside that
 row, and anything that must count across rows goes through explode + groupBy.
 
 Regex notes: Java's ``\\s`` and ``\\d`` are ASCII-only, while the reference
@@ -24,6 +25,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c: Column) -> Column:
     """Trim Unicode whitespace from both ends (``trim`` only removes spaces)."""
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
@@ -77,8 +83,7 @@ def sentences_split(c: Column, min_len: int = 10) -> Column:
 
 def title_case(c: Column) -> Column:
     """Python ``str.title()``: upper after any non-letter, lower elsewhere."""
-    chars = F.split(c, "")
-    return F.array_join(
+    return bound(F.split(c, ""), lambda chars: F.array_join(
         F.transform(
             chars,
             lambda ch, i: F.when(
@@ -86,7 +91,7 @@ def title_case(c: Column) -> Column:
             ).otherwise(F.lower(ch)),
         ),
         "",
-    )
+    ))
 
 
 def thousands(c: Column) -> Column:
@@ -96,7 +101,8 @@ def thousands(c: Column) -> Column:
 
 def chunk_array(arr: Column, size: int) -> Column:
     """Split an array into consecutive chunks of ``size`` (last one shorter)."""
-    n = F.size(arr)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(size)).cast("int") - 1, F.lit(0)))
-    chunks = F.transform(starts, lambda i: F.slice(arr, i * size + 1, size))
-    return F.when(n > 0, chunks).otherwise(F.array().cast("array<array<string>>"))
+    def chunks(a):
+        starts = F.sequence(F.lit(0), F.ceil(F.size(a) / F.lit(size)).cast("int") - 1)
+        return F.when(F.size(a) > 0, F.transform(starts, lambda i: F.slice(a, i * size + 1, size))) \
+            .otherwise(F.array().cast("array<array<string>>"))
+    return bound(arr, chunks)

@@ -4,11 +4,10 @@ Plans here are data-dependent in one way only: which columns to chart and
 their ranges come from the profile (one row per column, collected once).
 The data itself is only ever touched by Spark aggregations:
 
-* histogram counts: 25 ``count_if`` per column in one single-row ``agg``;
-* KDE: grid points exploded inside the scan stage and summed with map-side
-  partial aggregation (or over 2,000 pre-binned counts for very large n);
-* quartiles: exact ``percentile`` when the distinct count is bounded,
-  ``percentile_approx`` beyond;
+* histogram counts: one bin number per value, counted per (column, bin);
+* KDE: values are counted first, grid points exploded over the distinct values
+  and summed with map-side partial aggregation;
+* quartiles: exact, from range-partitioned value counts (``quantiles``);
 * value counts: unpivot -> groupBy (partial agg collapses hot values) -> top-k.
 """
 
@@ -21,16 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.profile import basic_role_expr, column_stats, profile_role_expr
+from quarry.operators.quantiles import quantiles
 from quarry.operators.topk import top_k
 
-# Above this many distinct values an exact percentile keeps too much state
-# per task; quartiles then come from the sketch (rank error n / accuracy).
-EXACT_PERCENTILE_MAX_DISTINCT = 5_000_000
-APPROX_ACCURACY = 100_000
-# Above this many rows the KDE is computed over pre-binned counts.
-EXACT_KDE_MAX_ROWS = 2_000_000
-KDE_PREBINS = 2000
-
 
 @dataclass
 class TableProfile:
@@ -39,8 +31,9 @@ class TableProfile:
     rows: list
 
     @classmethod
-    def of(cls, df: DataFrame, approx: bool = False) -> "TableProfile":
-        st = column_stats(df, approx=approx).withColumn("role", profile_role_expr()) \
+    def of(cls, df: DataFrame, distinct: bool = True) -> "TableProfile":
+        """``distinct=False`` leaves the distinct counts out (roles then mean little)."""
+        st = column_stats(df, distinct).withColumn("role", profile_role_expr()) \
             .withColumn("basic_role", basic_role_expr())
         return cls(sorted(st.collect(), key=lambda r: r["ord"]))
 
@@ -88,25 +81,30 @@ def hist_edges(lo: float, hi: float, bins: int) -> list:
 
 
 def numeric_histogram(df: DataFrame, cols=None, bins: int = 25, prof: TableProfile | None = None,
-                      max_cols: int = 6, min_values: int = 5) -> DataFrame:
-    """Counts per equal-width bin between min and max, last bin closed."""
+                      max_cols: int | None = None, min_values: int = 5) -> DataFrame:
+    """Counts per equal-width bin between min and max, last bin closed; all numeric
+    columns unless ``cols`` or ``max_cols`` says otherwise."""
     prof = prof or TableProfile.of(df)
     if cols is None:
         cols = prof.by_role("numeric")[:max_cols]
     cols = [c for c in cols if (prof.stat(c)["n"] - prof.stat(c)["nulls"]) >= min_values]
-    structs = []
+    schema = "column string, bin int, lo double, hi double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema + ", count bigint")
+    frame, structs = [], []
     for c in cols:
-        s = prof.stat(c)
-        e = hist_edges(s["min"], s["max"], bins)
-        v = _num(c)
-        for i in range(bins):
-            upper = (v <= e[i + 1]) if i == bins - 1 else (v < e[i + 1])
-            structs.append(F.struct(
-                F.lit(c).alias("column"), F.lit(i).alias("bin"), F.lit(e[i]).alias("lo"),
-                F.lit(e[i + 1]).alias("hi"), F.count_if((v >= e[i]) & upper).alias("count")))
-    if not structs:
-        return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
-    return df.agg(F.array(*structs).alias("h")).select(F.inline("h"))
+        e = hist_edges(prof.stat(c)["min"], prof.stat(c)["max"], bins)
+        frame += [(c, i, e[i], e[i + 1]) for i in range(bins)]
+        lo, step, v = F.lit(e[0]), F.lit((e[-1] - e[0]) / bins), _num(c)
+        edge = lambda i: i * step + lo
+        i = F.least(F.greatest(F.floor((v - lo) / step), F.lit(0)), F.lit(bins - 1))
+        i = F.when((i > 0) & (v < edge(i)), i - 1).when((i < bins - 1) & (v >= edge(i + 1)), i + 1).otherwise(i)
+        structs.append(F.struct(F.lit(c).alias("column"), i.cast("int").alias("bin")))
+    counts = (df.select(F.inline(F.array(*structs))).where(F.col("bin").isNotNull())
+              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    # the frame has ``bins`` rows per column
+    return df.sparkSession.createDataFrame(frame, schema).join(counts, ["column", "bin"], "left").select(
+        "column", "bin", "lo", "hi", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
 
 
 # ---------------------------------------------------------------------------
@@ -114,8 +112,7 @@ def numeric_histogram(df: DataFrame, cols=None, bins: int = 25, prof: TableProfi
 # ---------------------------------------------------------------------------
 
 def numeric_kde(df: DataFrame, cols=None, points: int = 200, bins: int = 25,
-                prof: TableProfile | None = None, max_cols: int = 6,
-                exact_max_rows: int = EXACT_KDE_MAX_ROWS) -> DataFrame:
+                prof: TableProfile | None = None, max_cols: int | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth) on ``points`` grid points from min to max,
     scaled to histogram counts (n x bin width), as the histogram overlay."""
     prof = prof or TableProfile.of(df)
@@ -133,15 +130,8 @@ def numeric_kde(df: DataFrame, cols=None, points: int = 200, bins: int = 25,
         scale = width / (bw * math.sqrt(2 * math.pi))
         step = (hi - lo) / (points - 1)
         v = _num(c)
-        if n <= exact_max_rows:
-            base = df.select(v.alias("v")).where(F.col("v").isNotNull()).withColumn("w", F.lit(1.0))
-        else:
-            # pre-bin into KDE_PREBINS fine bins; the kernel then runs over bin centres
-            bstep = (hi - lo) / KDE_PREBINS
-            b = F.least(F.floor((v - F.lit(lo)) / F.lit(bstep)), F.lit(KDE_PREBINS - 1))
-            base = (df.select(b.alias("b")).where(F.col("b").isNotNull()).groupBy("b")
-                    .agg(F.count(F.lit(1)).cast("double").alias("w"))
-                    .select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(bstep)).alias("v"), "w"))
+        base = (df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v")
+                .agg(F.count(F.lit(1)).cast("double").alias("w")))
         grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
         xs = F.when(F.col("point") == points - 1, F.lit(hi)).otherwise(F.col("point") * F.lit(step) + F.lit(lo))
         z = (F.col("x") - F.col("v")) / F.lit(bw)
@@ -163,39 +153,32 @@ def numeric_kde(df: DataFrame, cols=None, points: int = 200, bins: int = 25,
 # quartiles and box statistics
 # ---------------------------------------------------------------------------
 
-def _quartiles(v, exact: bool):
-    if exact:
-        return F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), APPROX_ACCURACY)
+QUARTILES = (0.25, 0.5, 0.75)
+BOX_SCHEMA = ("column string, q1 double, median double, q3 double, whislo double, whishi double, "
+              "n_fliers bigint, n bigint")
 
 
-def _exact_for(prof: TableProfile | None, col: str, exact) -> bool:
-    if exact is not None:
-        return exact
-    if prof is None:
-        return True
-    nd = prof.stat(col)["n_distinct"]
-    return nd is None or nd <= EXACT_PERCENTILE_MAX_DISTINCT
+def _long(df: DataFrame, cols, extra=()) -> DataFrame:
+    """(extra..., column, v): the numeric columns one below the other."""
+    return df.select(*extra, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), _num(c).alias("v")) for c in cols])))
 
 
-def box_stats(df: DataFrame, cols=None, prof: TableProfile | None = None, exact=None,
-              max_cols: int = 6, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, cols=None, prof: TableProfile | None = None, max_cols: int | None = None,
+              whis: float = 1.5) -> DataFrame:
     """q1, median, q3, whiskers (last value inside 1.5 IQR) and outlier count."""
-    prof = prof or TableProfile.of(df)
     if cols is None:
+        prof = prof or TableProfile.of(df)
         cols = prof.by_role("numeric")[:max_cols]
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, q1 double, median double, q3 double, whislo double, whishi double, "
-                "n_fliers bigint, n bigint")
-    q = df.agg(*[_quartiles(_num(c), _exact_for(prof, c, exact)).alias(f"q{i}")
-                 for i, c in enumerate(cols)]).collect()[0]
+        return df.sparkSession.createDataFrame([], BOX_SCHEMA)
+    quart = {r["column"]: r["q"] for r in quantiles(_long(df, cols), ["column"], "v", QUARTILES).collect()}  # one row per column
     structs = []
-    for i, c in enumerate(cols):
-        q1, med, q3 = q[f"q{i}"] if q[f"q{i}"] is not None else (None, None, None)
-        v = _num(c)
-        if q1 is None:
+    for c in cols:
+        if c not in quart:
             continue
+        q1, med, q3 = quart[c]
+        v = _num(c)
         iqr = q3 - q1
         lo, hi = q1 - whis * iqr, q3 + whis * iqr
         wlo = F.coalesce(F.min(F.when(v >= lo, v)), F.lit(q1))
@@ -205,27 +188,33 @@ def box_stats(df: DataFrame, cols=None, prof: TableProfile | None = None, exact=
             F.lit(q3).alias("q3"), wlo.alias("whislo"), whi.alias("whishi"),
             # a flier lies outside the whiskers, i.e. outside [lo, hi]
             F.count_if((v < lo) | (v > hi)).alias("n_fliers"), F.count(v).alias("n")))
+    if not structs:
+        return df.sparkSession.createDataFrame([], BOX_SCHEMA)
     return df.agg(F.array(*structs).alias("b")).select(F.inline("b"))
 
 
-def grouped_box_stats(df: DataFrame, group: str, cols, exact: bool = True, whis: float = 1.5) -> DataFrame:
+def box_outliers(df: DataFrame, boxes: DataFrame, cols, whis: float = 1.5) -> DataFrame:
+    """(column, value, count): the values outside the fences of ``box_stats``."""
+    iqr = F.col("q3") - F.col("q1")
+    fences = boxes.select("column", (F.col("q1") - whis * iqr).alias("lo"), (F.col("q3") + whis * iqr).alias("hi"))
+    return (_long(df, cols).join(F.broadcast(fences), "column")  # one row per column
+            .where((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")))
+            .groupBy("column", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("count")))
+
+
+def grouped_box_stats(df: DataFrame, group: str, cols, whis: float = 1.5) -> DataFrame:
     """Box statistics of each column per value of ``group`` (null groups dropped).
 
-    One groupBy computes the quartiles of every column per group; a second
-    pass joins them back (one row per group and column, tiny) for whiskers.
+    Exact quartiles per group and column, then a second pass joins them back
+    (one row per group and column) for whiskers.
     """
     g = _c(group)
-    base = df.where(g.isNotNull())
-    qs = base.groupBy(g.alias("group")).agg(
-        *[_quartiles(_num(c), exact).alias(f"q{i}") for i, c in enumerate(cols)])
-    long_q = qs.select("group", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"),
-                 F.col(f"q{i}")[2].alias("q3")) for i, c in enumerate(cols)])))
-    vals = base.select(g.alias("group"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), _num(c).alias("v")) for c in cols])))
+    vals = _long(df.where(g.isNotNull()), cols, extra=[g.alias("group")])
+    q = quantiles(vals, ["group", "column"], "v", QUARTILES)
+    long_q = q.select("group", "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     # the quartile side is one row per (group, column); AQE broadcasts it at
     # run time when it is small and falls back to a shuffle join when not
-    j = vals.join(long_q, ["group", "column"])
+    j = vals.join(long_q, ["group", "column"], "left")
     iqr = F.col("q3") - F.col("q1")
     lo = F.col("q1") - whis * iqr
     hi = F.col("q3") + whis * iqr
@@ -251,11 +240,13 @@ def _unpivot_as_text(df: DataFrame, cols, extra=()) -> DataFrame:
 
 
 def categorical_counts(df: DataFrame, cols=None, top: int = 10, prof: TableProfile | None = None,
-                       max_cols: int = 6) -> DataFrame:
+                       max_cols: int | None = None) -> DataFrame:
     """Top values per categorical/binary column; pct is of the values shown."""
     if cols is None:
         prof = prof or TableProfile.of(df)
         cols = prof.by_role("categorical", "binary")[:max_cols]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string, count bigint, pct double, chart string")
     long = _unpivot_as_text(df, cols).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     t = top_k(counts, "column", [F.desc("count"), F.asc("value")], top)
@@ -290,7 +281,7 @@ def _pearson(x, y):
     return F.try_divide(F.covar_samp(xm, ym), F.when(den != 0, den))
 
 
-def correlation_matrix(df: DataFrame, cols=None, prof: TableProfile | None = None, max_cols: int = 15,
+def correlation_matrix(df: DataFrame, cols=None, prof: TableProfile | None = None, max_cols: int | None = None,
                        min_cols: int = 3) -> DataFrame:
     """Pearson r for the lower triangle (row after column), pairwise non-null."""
     if cols is None:
@@ -344,26 +335,24 @@ def linear_fit(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
                     "slope", "intercept", "r2", "n"))
 
 
-def pair_scatter(df: DataFrame, pairs, hue: str | None = None, max_points: int = 5000, seed: int = 42,
-                 min_rows: int = 10) -> DataFrame:
+POINT_SCHEMA = "pair string, x double, y double, hue string"
+
+
+def pair_scatter(df: DataFrame, pairs, hue: str | None = None, max_points: int | None = None, seed: int = 42) -> DataFrame:
     """Points for each (x, y) pair plus the colour column, nulls dropped.
 
-    Point clouds are the one place rows are sampled: a deterministic top-k
-    by a seeded row hash (same rows on every run, no driver round trip).
+    All points, unless the caller asks for at most ``max_points``: then those
+    with the smallest seeded row hashes.
     """
-    parts = []
+    out = df.sparkSession.createDataFrame([], POINT_SCHEMA)
     for x, y in pairs:
         keep = list(dict.fromkeys([x, y] + ([hue] if hue else [])))
-        base = df.select(*[_c(k) for k in keep]).na.drop()
-        h = F.xxhash64(*[_c(k) for k in keep], F.lit(seed))
-        pts = (base.withColumn("_h", h).orderBy("_h").limit(max_points)
-               .select(F.lit(f"{x}|{y}").alias("pair"), _c(x).cast("double").alias("x"),
-                       _c(y).cast("double").alias("y"),
-                       (_c(hue).cast("string") if hue else F.lit(None).cast("string")).alias("hue")))
-        parts.append(pts)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        pts = df.where(_c(x).isNotNull() & _c(y).isNotNull() & (_c(hue).isNotNull() if hue else F.lit(True)))
+        if max_points is not None:
+            pts = pts.orderBy(F.xxhash64(*[_c(k) for k in df.columns], F.lit(seed))).limit(max_points)
+        out = out.unionByName(pts.select(*[_c(k) for k in keep]).select(
+            F.lit(f"{x}|{y}").alias("pair"), _c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"),
+            (_c(hue).cast("string") if hue else F.lit(None).cast("string")).alias("hue")))
     return out
 
 
@@ -372,7 +361,7 @@ def pair_scatter(df: DataFrame, pairs, hue: str | None = None, max_points: int =
 # ---------------------------------------------------------------------------
 
 def binary_vs_numeric(df: DataFrame, target: str | None = None, cols=None, prof: TableProfile | None = None,
-                      max_cols: int = 4, exact: bool = True) -> DataFrame:
+                      max_cols: int | None = None) -> DataFrame:
     """Quartiles and range of each numeric column per value of the binary target."""
     if target is None or cols is None:
         prof = prof or TableProfile.of(df)
@@ -383,7 +372,7 @@ def binary_vs_numeric(df: DataFrame, target: str | None = None, cols=None, prof:
                     "whishi double, n_fliers bigint, n bigint, min double, max double")
         target = target or bins_[0]
         cols = cols or nums[:max_cols]
-    g = grouped_box_stats(df, target, cols, exact=exact)
+    g = grouped_box_stats(df, target, cols)
     return g.withColumn("target", F.col("group").cast("string")).drop("group")
 
 
@@ -399,7 +388,7 @@ def crosstab_share(df: DataFrame, target: str, cols) -> DataFrame:
 
 
 def binary_vs_categorical(df: DataFrame, target: str | None = None, cols=None, prof: TableProfile | None = None,
-                          max_cols: int = 3) -> DataFrame:
+                          max_cols: int | None = None) -> DataFrame:
     if target is None or cols is None:
         prof = prof or TableProfile.of(df)
         bins_, cats = prof.by_role("binary"), prof.by_role("categorical")

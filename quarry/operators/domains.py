@@ -24,23 +24,21 @@ def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def domain_dispatch(df: DataFrame, prof: C.TableProfile | None = None) -> DataFrame:
-    """(view, applies): which domain views a table gets."""
+def domain_dispatch(df: DataFrame, prof: C.TableProfile | None = None) -> list:
+    """Names of the domain views a table gets, by its column names and text columns."""
     cl = cols_lower(df)
-    prof = prof or C.TableProfile.of(df)
-    text_like = [r["column"] for r in prof.rows if r["role"] == "text" and (r["avg_len"] or 0) > 40]
     rules = [
         ("health", "stroke" in cl),
         ("delivery", "delivery_time_min" in cl or "distance_km" in cl),
         ("weather", "precipitation" in cl or "temp_max" in cl),
         ("sales", "sales" in cl or "productline" in cl),
         ("asthma", "has_asthma" in cl or "asthma" in cl),
-        ("text_terms", bool(text_like)),
     ]
-    st = C.column_stats(df, distinct=False)
-    # one row per rule, computed from the scanned table's stats
-    return st.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("view"), F.lit(a).alias("applies")) for v, a in rules])))
+    found = [v for v, applies in rules if applies]
+    prof = prof or C.TableProfile.of(df)
+    if any(r["role"] == "text" and (r["avg_len"] or 0) > 40 for r in prof.rows):
+        found.append("text_terms")
+    return found
 
 
 def health_counts(df: DataFrame, fields=("hypertension", "heart_disease", "smoking_status")) -> DataFrame:

@@ -37,8 +37,8 @@ def _name_has(name: str, patterns) -> bool:
     return any(p in lc for p in patterns)
 
 
-def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) -> DataFrame:
-    """One row per column.  ``approx`` swaps exact distinct counts for HLL."""
+def column_stats(df: DataFrame, distinct: bool = True) -> DataFrame:
+    """One row per column; distinct counts only when asked for, as they need a shuffle."""
     n_all = F.count(F.lit(1))
     structs = []
     for i, f in enumerate(df.schema.fields):
@@ -48,14 +48,7 @@ def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) ->
         v = nan_to_null(c, f.dataType).cast("double") if num else None
         dnull = F.lit(None).cast("double")
         tnull = F.lit(None).cast("timestamp")
-        if k == "other":
-            nd = F.lit(None).cast("bigint")
-        elif not distinct:
-            nd = F.lit(None).cast("bigint")
-        elif approx:
-            nd = F.approx_count_distinct(c).cast("bigint")
-        else:
-            nd = F.lit(None).cast("bigint")  # exact counts come from distinct_counts()
+        nd = F.lit(None).cast("bigint")  # exact counts come from distinct_counts()
         if k == "temporal":
             dmin, dmax, dok = F.min(c).cast("timestamp"), F.max(c).cast("timestamp"), F.lit(True)
         elif k == "string" and _name_has(f.name, L.PROFILE_DATETIME_PATTERNS + L.BASIC_DATE_PATTERNS):
@@ -87,7 +80,7 @@ def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) ->
         ))
     stats = df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
     exact = [f.name for f in df.schema.fields if kind_of(f.dataType) != "other"]
-    if not distinct or approx or not exact:
+    if not distinct or not exact:
         return stats
     nd = distinct_counts(df, exact)
     # one row per column on both sides: the join is bounded by the column count
@@ -99,14 +92,17 @@ def column_stats(df: DataFrame, distinct: bool = True, approx: bool = False) ->
 def distinct_counts(df: DataFrame, cols) -> DataFrame:
     """Exact distinct non-null values per column in one pass.
 
-    Values are unpivoted to (column, value-as-text) and deduplicated with a
-    groupBy (partial aggregation inside each task first), then counted per
-    column.  This avoids the Expand rewrite of many ``count(DISTINCT ...)``
-    in one aggregate, which drags every other aggregate through each copy.
+    Values are unpivoted to (column, 128-bit digest of the value) and
+    deduplicated with a groupBy (partial aggregation inside each task first),
+    then counted per column; so whole texts never travel, and the aggregate
+    needs no Expand over many ``count(DISTINCT ...)``.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])))
-    return (long.where(F.col("v").isNotNull()).distinct()
+    def digest(c):
+        v = F.col(f"`{c}`")
+        return F.struct(F.lit(c).alias("column"), F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b"),
+                        v.isNotNull().alias("some"))
+    long = df.select(F.inline(F.array(*[digest(c) for c in cols])))
+    return (long.where("some").select("column", "a", "b").distinct()
             .groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct")))
 
 
@@ -179,15 +175,6 @@ def dataset_domain_expr(names_col: Column, domains=L.DATASET_DOMAINS, default: s
     return F.when(best["score"] > 0, best["domain"]).otherwise(F.lit(default))
 
 
-def dataset_domain(df: DataFrame, domains=L.DATASET_DOMAINS) -> DataFrame:
-    """The dataset domain, derived from the column names of the scanned table."""
-    stats = column_stats(df, distinct=False)
-    names = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", F.lower("column").alias("c")))),
-                    lambda s: s["c"]), " ")
-    return stats.agg(names.alias("names")).select(dataset_domain_expr(F.col("names"), domains).alias("domain"))
-
-
 def table_summary(df: DataFrame) -> DataFrame:
     """rows, columns, names, nulls per column, basic roles and domain (one row)."""
     st = column_stats(df).withColumn("role", basic_role_expr())

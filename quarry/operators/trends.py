@@ -66,7 +66,7 @@ def _granularity_of(df: DataFrame, col: str) -> str | None:
 
 
 def datetime_trend(df: DataFrame, date_col: str | None = None, cols=None, prof: TableProfile | None = None,
-                   max_cols: int = 2, min_buckets: int = 2) -> DataFrame:
+                   max_cols: int | None = None, min_buckets: int = 2) -> DataFrame:
     """Mean of each numeric column per time bucket; empty buckets dropped;
     a column with fewer than ``min_buckets`` buckets is left out."""
     if date_col is None or cols is None:

@@ -139,10 +139,6 @@ for key, t, role in [("roles_basic", "lineitem", BASIC_ROLE), ("roles_profile",
     ORACLE[key] = f"""WITH {stats_cte(t)}
 SELECT col AS "column", ord, {role} AS role FROM st"""
 
-for key, t in [("dataset_domain", "lineitem"), ("dataset_domain_orders", "orders")]:
-    ORACLE[key] = f"""WITH {stats_cte(t)}
-SELECT {domain_case("string_agg(lower(col), ' ' ORDER BY ord)")} AS domain FROM st"""
-
 ORACLE["dropna_subset"] = f"""WITH j AS ({DOC_LABELS})
 SELECT doc_id, quality, lang FROM j WHERE quality IS NOT NULL"""
 
@@ -253,7 +249,7 @@ SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY "column" ORDER BY coun
 # 2-C chart data
 # ---------------------------------------------------------------------------
 
-LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def histogram_sql(t: str, cols, bins: int = 25) -> str:

@@ -389,11 +389,6 @@ SALES = ("SELECT p.p_type AS PRODUCTLINE, l.l_extendedprice AS SALES, l.l_shipda
          "CASE WHEN l.l_quantity < 10 THEN 'Small' WHEN l.l_quantity < 35 THEN 'Medium' ELSE 'Large' END AS DEALSIZE "
          "FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey")
 
-ORACLE["domain_dispatch"] = """SELECT * FROM (VALUES ('health', false), ('delivery', false), ('weather', false),
-  ('sales', false), ('asthma', false)) t(view, applies)
-UNION ALL SELECT 'text_terms', (avg(length(text)) > 60 OR count(DISTINCT text) > 30) AND avg(length(text)) > 40
-FROM documents"""
-
 ORACLE["health_counts"] = f"""WITH s AS ({STROKE}),
 l AS (SELECT CAST(stroke AS VARCHAR) AS stroke, 'hypertension' AS field, CAST(hypertension AS VARCHAR) AS value FROM s
       UNION ALL SELECT CAST(stroke AS VARCHAR), 'smoking_status', smoking_status FROM s)

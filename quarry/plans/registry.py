@@ -19,10 +19,10 @@ from quarry.sources import tables as T
 
 QUERIES: dict = {}
 
-# Column choices for the chart queries on lineitem.  The role rules that pick
-# them on a fresh table are checked by ``roles_profile``; fixing them here
-# keeps each chart query comparable across scale factors.
-LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+# All numeric columns of lineitem, and those that its role rules call categorical
+# (checked by ``roles_profile``); named so that a chart query has the same
+# columns at every scale factor.
+LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LI_CATEGORICAL = ["l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -102,16 +102,6 @@ def q_roles_profile_customer(spark, sf):
     return P.roles_profile(T.table(spark, sf, "customer"))
 
 
-@query("dataset_domain")
-def q_dataset_domain(spark, sf):
-    return P.dataset_domain(T.table(spark, sf, "lineitem"))
-
-
-@query("dataset_domain_orders")
-def q_dataset_domain_orders(spark, sf):
-    return P.dataset_domain(T.table(spark, sf, "orders"))
-
-
 @query("sample_cap")
 def q_sample_cap(spark, sf):
     li = T.table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
@@ -150,19 +140,19 @@ def q_col_distinct(spark, sf):
 
 @query("col_numeric_stats")
 def q_col_numeric_stats(spark, sf):
-    st = P.column_stats(T.table(spark, sf, "lineitem")).where(F.col("kind").isin("integral", "fractional"))
+    st = P.column_stats(T.table(spark, sf, "lineitem"), distinct=False).where(F.col("kind").isin("integral", "fractional"))
     return r6(st.select("column", "min", "max", "mean", "std"))
 
 
 @query("col_skew")
 def q_col_skew(spark, sf):
-    st = P.column_stats(T.table(spark, sf, "events")).where(F.col("kind").isin("integral", "fractional"))
+    st = P.column_stats(T.table(spark, sf, "events"), distinct=False).where(F.col("kind").isin("integral", "fractional"))
     return r6(st.select("column", "skew", B.skew_label(F.col("skew")).alias("skew_label")))
 
 
 @query("col_date_span")
 def q_col_date_span(spark, sf):
-    st = P.column_stats(T.table(spark, sf, "orders")).where(F.col("kind") == "temporal")
+    st = P.column_stats(T.table(spark, sf, "orders"), distinct=False).where(F.col("kind") == "temporal")
     return st.select("column", F.date_format("dt_min", "yyyy-MM-dd").alias("date_min"),
                      F.date_format("dt_max", "yyyy-MM-dd").alias("date_max"),
                      TR.span_days(F.col("dt_min"), F.col("dt_max")).alias("span_days"))
@@ -181,18 +171,18 @@ def q_col_top_values(spark, sf):
 @query("numeric_histogram")
 def q_numeric_histogram(spark, sf):
     li = T.table(spark, sf, "lineitem")
-    return r6(C.numeric_histogram(li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC))))
+    return r6(C.numeric_histogram(li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC), distinct=False)))
 
 
 @query("numeric_kde")
 def q_numeric_kde(spark, sf):
-    return r6(C.numeric_kde(T.table(spark, sf, "events"), cols=["value"]))
+    return r6(C.numeric_kde(T.table(spark, sf, "events"), cols=["value"], prof=C.TableProfile.of(T.table(spark, sf, "events").select("value"), distinct=False)))
 
 
 @query("box_stats")
 def q_box_stats(spark, sf):
     li = T.table(spark, sf, "lineitem")
-    return r6(C.box_stats(li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC)), exact=True))
+    return r6(C.box_stats(li, cols=LI_NUMERIC))
 
 
 @query("categorical_counts")
@@ -480,11 +470,6 @@ from quarry.operators import anomaly as AN  # noqa: E402
 from quarry.operators import domains as DV  # noqa: E402
 
 
-@query("domain_dispatch")
-def q_domain_dispatch(spark, sf):
-    return DV.domain_dispatch(T.table(spark, sf, "documents"))
-
-
 @query("health_counts")
 def q_health_counts(spark, sf):
     return DV.health_counts(T.stroke_view(spark, sf))
@@ -610,13 +595,6 @@ from quarry.sources import files as FS  # noqa: E402
 from quarry.sources import sinks as SK  # noqa: E402
 
 
-@query("scan_route")
-def q_scan_route(spark, sf):
-    r = FS.scan_route(spark, sf)
-    return r.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "extension", "file_type",
-                    "accepted", "empty")
-
-
 @query("scan_csv")
 def q_scan_csv(spark, sf):
     loc = SK.roundtrip_csv(T.table(spark, sf, "orders"), spark)
@@ -634,13 +612,6 @@ def q_json_flatten(spark, sf):
     return FS.json_flatten(T.table(spark, sf, "events"), "event_id", "props")
 
 
-@query("json_scalar_page")
-def q_json_scalar_page(spark, sf):
-    # the embedding vectors as JSON arrays: non-object JSON -> one pretty page
-    e = T.table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("j"))
-    return FS.json_scalar_page(e, "vec_id", "j")
-
-
 @query("report_sections")
 def q_report_sections(spark, sf):
     a = D.text_analysis(_docs(spark, sf))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,14 +35,17 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; that setting always wins.
-    Only when it is unset (tests, local runs) do we pick a scratch folder.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master (one
+    machine: tests, local runs) may leave it unset and gets a scratch folder;
+    on a cluster a local folder would lose files, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -58,7 +60,3 @@ def materialize(df, eager: bool = True):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("QUARRY_SF_DIR", default)

@@ -1,4 +1,4 @@
-"""File sources: routing, CSV, JSON records, JSON flattening, DOCX pages.
+"""File sources: routing, CSV, JSON records, JSON flattening.
 
 * Routing reads only ``path`` and ``length`` from the ``binaryFile`` source
   (content is not read unless selected) and filters on length there.
@@ -6,24 +6,15 @@
   shows replacement characters are re-read as Latin-1 (a per-file decision
   from one aggregate over the UTF-8 read).
 * JSON objects are flattened with ``parse_json`` + ``variant_explode``, level
-  by level (lateral joins, no shuffle), up to ``max_depth`` levels.
-* DOCX is a zip of XML: a small stdlib extractor runs in ``mapInPandas`` over
-  the binary files and yields paragraphs, which then go through the paging
-  operator like any text.
+  by level (lateral joins, no shuffle).
 """
 
 from __future__ import annotations
 
-import io
-import json
-import re
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import chunk_array
+from quarry.session import materialize
 
 MAX_BYTES = 10 * 1024 * 1024
 
@@ -67,20 +58,40 @@ def scan_json_records(spark: SparkSession, path: str, multi_line: bool = False)
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+#: The tokens of compact JSON text: strings, marks, and everything else.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^"\[\]{},:]+'
+
+
+def _list_text(json_text) -> "F.Column":
+    """A JSON list as the file reader prints it: True/False/None, strings in
+    single quotes (double ones around a lone apostrophe), ", " between items."""
+    def one(t):
+        v = F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v")
+        plain = v
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            plain = F.replace(plain, F.lit(raw), F.lit(shown))
+        quoted = F.when(v.contains("'") & ~v.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        return (F.when(t.startswith('"'), quoted).when(t == ",", ", ").when(t == ":", ": ")
+                .when(t == "true", "True").when(t == "false", "False").when(t == "null", "None").otherwise(t))
+    return F.array_join(F.transform(F.regexp_extract_all(json_text, F.lit(_JSON_TOKEN), F.lit(0)), one), "")
+
+
 def _scalar_text(v) -> "F.Column":
     t = F.schema_of_variant(v)
     return (F.when(t == "BOOLEAN", F.when(v.cast("boolean"), "True").otherwise("False"))
             .when(t == "VOID", F.lit("None"))
-            .when(t.startswith("ARRAY"), F.regexp_replace(F.to_json(v), ",", ", "))
+            .when(t.startswith("ARRAY"), _list_text(F.to_json(v)))
             .otherwise(v.cast("string")))
 
 
-def json_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16) -> DataFrame:
+def json_flatten(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(doc_id, path, line) with ``line = 'a.b[0].c: value'`` for every scalar leaf.
 
     Objects recurse into their members; arrays recurse into object elements
     and print other elements as ``key[i]: value``.  Variant objects keep keys
-    sorted, so lines come in key order.
+    sorted, so lines come in key order.  Any depth: one level after another
+    until nothing descends, each level kept by a checkpoint.
     """
     spark = df.sparkSession
     root = df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("path"),
@@ -88,13 +99,14 @@ def json_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16)
         F.schema_of_variant("v").startswith("OBJECT"))
     frontier = root.withColumn("kind", F.lit("OBJECT"))
     lines = []
-    for _ in range(max_depth):
+    while not lines or not frontier.isEmpty():
         ex = frontier.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         child_path = F.when(F.col("kind") == "OBJECT", F.when(F.col("path") == "", F.col("key"))
                             .otherwise(F.concat(F.col("path"), F.lit("."), F.col("key")))) \
             .otherwise(F.concat(F.col("path"), F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         ch = ex.select("doc_id", F.col("kind").alias("parent_kind"), child_path.alias("path"),
                        F.col("value").alias("v")).withColumn("t", F.schema_of_variant("v"))
+        ch = materialize(ch)
         is_obj = F.col("t").startswith("OBJECT")
         is_arr = F.col("t").startswith("ARRAY")
         # arrays recurse only one level into their object elements
@@ -103,8 +115,6 @@ def json_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16)
                                                                            _scalar_text(F.col("v"))).alias("line")))
         frontier = ch.where(descend).select("doc_id", "path", "v",
                                             F.when(is_obj, "OBJECT").otherwise("ARRAY").alias("kind"))
-        if frontier.isEmpty():
-            break
     out = lines[0]
     for p in lines[1:]:
         out = out.unionByName(p)
@@ -112,57 +122,7 @@ def json_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16)
 
 
 def json_scalar_page(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Non-object JSON (arrays, scalars) -> one page: the value pretty-printed
-    with two-space indents, as ``json.dumps(value, indent=2)`` writes it."""
-    @F.pandas_udf("string")
-    def pretty(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return json.dumps(json.loads(x), indent=2)
-            except (TypeError, ValueError):
-                return None
-        return s.map(one)
-
+    """Non-object JSON (arrays, scalars) -> one page: the value pretty-printed."""
     v = F.try_parse_json(F.col(json_col))
     return (df.where(v.isNotNull() & ~F.schema_of_variant(v).startswith("OBJECT"))
-            .select(F.col(id_col).alias("doc_id"), F.lit(1).alias("page_no"), pretty(F.col(json_col)).alias("page")))
-
-
-# ---------------------------------------------------------------------------
-# DOCX
-# ---------------------------------------------------------------------------
-
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def docx_paragraphs(data: bytes) -> list:
-    """Paragraph texts of a .docx file (document body, in order)."""
-    import xml.etree.ElementTree as ET
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            root = ET.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
-        return []
-    out = []
-    for p in root.iter(_W + "p"):
-        out.append("".join(t.text or "" for t in p.iter(_W + "t")))
-    return out
-
-
-def scan_docx_pages(spark: SparkSession, path: str, per_page: int = 8) -> DataFrame:
-    """(doc_id=path, page_no, page): stripped non-empty paragraphs, 8 per page."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
-
-    def extract(batches):
-        for pdf in batches:
-            rows = [(p, [x.strip() for x in docx_paragraphs(c) if x.strip()]) for p, c in
-                    zip(pdf["path"], pdf["content"])]
-            yield pd.DataFrame({"path": [r[0] for r in rows], "paras": [r[1] for r in rows]})
-
-    paras = files.mapInPandas(extract, "path string, paras array<string>")
-    pages = F.transform(chunk_array(F.col("paras"), per_page), lambda ch: F.array_join(ch, " "))
-    return (paras.select(F.col("path").alias("doc_id"), F.posexplode(pages).alias("i", "page"))
-            .select("doc_id", (F.col("i") + 1).alias("page_no"), "page"))
-
-
-_SAFE = re.compile(r"[^A-Za-z0-9_.-]")
+            .select(F.col(id_col).alias("doc_id"), F.lit(1).alias("page_no"), F.to_json(v, {"pretty": "true"}).alias("page")))

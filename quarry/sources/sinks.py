@@ -15,21 +15,16 @@ from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir
 
-HISTORY_SCHEMA = (
-    "id bigint, user_id bigint, file_name string, file_size bigint, file_type string, insights string, "
-    "key_insights array<string>, recommendations array<string>, chart_data string, "
-    "structured_breakdown array<string>, ml_result string, nlp_result string, dl_result string, "
-    "has_report boolean, upload_date timestamp")
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a local temp)."""
+    """A fresh folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "quarry-io", f"{name}-{uuid.uuid4().hex}")
 
 
 def with_history_id(df: DataFrame) -> DataFrame:
-    """Stable id from the identifying fields (no driver-side counter)."""
-    return df.withColumn("id", F.xxhash64("user_id", "file_name", "file_size", "upload_date"))
+    """Ids that grow with the upload time and need no counter: milliseconds of
+    the upload in the high bits, 20 bits of the identifying fields below."""
+    below = F.pmod(F.xxhash64("user_id", "file_name", "file_size", "upload_date"), F.lit(1 << 20))
+    return df.withColumn("id", F.unix_millis(F.col("upload_date").cast("timestamp")) * F.lit(1 << 20) + below)
 
 
 def sink_history_append(df: DataFrame, path: str) -> None:

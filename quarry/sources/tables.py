@@ -16,30 +16,22 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Ensure the scan feeds every core.
-
-    A table stored as one file with one row group is read by a single task,
-    and every row-local operator after it (tokenising, paging, profiling)
-    would then run single-threaded.  When the scan has fewer splits than the
-    cluster has cores, rows are spread round-robin; on a large table (many
-    splits) this never triggers.  Filters and column pruning still reach the
-    Parquet scan through a round-robin repartition.
+    """Deal a scan with fewer splits than cores out to all cores (a shuffle).
+
+    Only when the session asks for it (``spark.quarry.scan.spread`` = true): it
+    helps tables stored as a single row group, as in the benchmark, and is
+    wrong for large ones.
     """
+    if df.sparkSession.conf.get("spark.quarry.scan.spread", "false") != "true":
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
-def register_all(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-
-
 # ---------------------------------------------------------------------------
 # Domain fixtures.  The test tables have no stroke / delivery / weather /
 # sales / asthma columns, so these views rename real columns to the names the

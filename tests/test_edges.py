@@ -1,8 +1,6 @@
 """Golden edge cases on inline rows."""
 
-import io
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -117,13 +115,71 @@ def test_json_flatten_nested(spark):
     assert lines == sorted(["a.b[0]: 1", "a.b[1].c: True", "a.d: x", "e[0]: [1, 2]", "e[1]: 3"])
 
 
-def test_docx_paragraphs():
-    body = ('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
-            + "".join(f"<w:p><w:r><w:t>para {i}</w:t></w:r></w:p>" for i in range(3)) + "</w:body></w:document>")
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("word/document.xml", body)
-    assert FS.docx_paragraphs(buf.getvalue()) == ["para 0", "para 1", "para 2"]
+def test_json_flatten_any_depth(spark):
+    doc = {"k": 1}
+    for _ in range(20):
+        doc = {"k": doc}
+    odd = {"a": [["x,y", True, None, "it's", 'say "hi"']]}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(odd)), (3, "no json"), (4, None)], "id long, j string")
+    lines = {r.doc_id: r.line for r in FS.json_flatten(df, "id", "j").collect()}
+    assert lines == {1: ".".join(["k"] * 21) + ": 1", 2: "a[0]: " + str(odd["a"][0])}
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from quarry.operators.quantiles import quantiles
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 11 != 0, (F.hash("id") % 500) / 7.0).alias("v"))
+    probs = (0.0, 0.05, 0.25, 0.5, 0.75, 1.0)
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()}
+    got = {r.g: r.q for r in quantiles(df, ["g"], "v", probs).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for g in got for a, b in zip(got[g], want[g]))
+    assert quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
+def test_paging_time_is_linear(spark):
+    """Four times the lines take about four times as long, not sixteen."""
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "\n".join(f"line {i} of the text" for i in range(n)))], "doc_id long, text string")
+        start = time.time()
+        assert TP.scan_text_pages(docs, lines_per_page=1).count() == n
+        return time.time() - start
+
+    seconds(500)
+    small = min(seconds(2000) for _ in range(3))
+    assert min(seconds(8000) for _ in range(2)) < 9 * small + 1
+
+
+def test_empty_inputs_do_not_crash(spark):
+    df = spark.createDataFrame([(None, None)], "v double, s string")
+    assert C.box_stats(df, cols=["v"]).count() == 0
+    assert C.categorical_counts(df.select("v"), cols=[]).count() == 0
+    assert C.pair_scatter(df, []).count() == 0
+    from quarry.operators import anomaly as AN
+    assert AN.anomaly_iforest(df.limit(0), ["v"]).first().anomaly_count == 0
+
+
+def test_history_ids_follow_time(spark):
+    from quarry.operators import history as H
+    from quarry.sources.sinks import scratch_dir, sink_history_append
+    rows = [(7, f"f{i}", i, "csv", "text", True, f"2024-01-{i + 1:02d} 10:00:00") for i in range(9)]
+    df = spark.createDataFrame(rows, "user_id long, file_name string, file_size long, file_type string, insights string, "
+                                     "has_report boolean, upload_date string").withColumn("upload_date", F.col("upload_date").cast("timestamp"))
+    path = scratch_dir(spark, "history")
+    sink_history_append(df, path)
+    got = H.history_list(spark.read.parquet(path)).orderBy("position").collect()
+    assert [r.file_name for r in got] == [f"f{i}" for i in range(8, -1, -1)]
+
+
+def test_replayed_batch_adds_no_row(spark):
+    from quarry.sources.sinks import scratch_dir
+    from quarry.streaming.ingest import write_analysis
+    batch = spark.createDataFrame([(1, "Some text here. More text follows.")], "doc_id long, text string")
+    path = scratch_dir(spark, "stream")
+    for k in (0, 1, 1):
+        write_analysis(batch, k, path)
+    assert spark.read.parquet(path).count() == 2
 
 
 def test_text_plans_stay_in_jvm(spark):

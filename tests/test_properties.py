@@ -22,7 +22,7 @@ def test_paging_loses_no_line(spark, lines):
 def test_forest_flags_planted_point(spark):
     rows = [(float(i % 17), float((i * 7) % 23)) for i in range(2000)] + [(1e6, -1e6)]
     df = spark.createDataFrame(rows, "a double, b double")
-    scored = AN.iforest_scores(df, ["a", "b"], trees=50, psi=128, seed=7)
+    scored = AN.iforest_scores(df, ["a", "b"], trees=50, psi=128, seed=7, keep=["a"])
     planted = scored.where("a = 1e6").first()._score
     higher = scored.where(F.col("_score") > planted).count()
     assert higher < 0.05 * 2001  # the planted point is among the flagged 5 %

@@ -9,6 +9,7 @@ module the Spark operators use, so both sides judge the same words.
 from __future__ import annotations
 
 from quarry.functions import lexicons as L
+from quarry.functions import wording as S
 from quarry.functions.text import WS
 from quarry.operators.clean import NUMERIC_TEXT
 
@@ -166,8 +167,9 @@ def basic_role_py(name: str, kind: str, n_distinct_sql: str) -> str:
     return "'Categorical'"
 
 
-MISS = ("CASE WHEN {mp} = 0 THEN 'No missing values detected.' "
-        "ELSE CAST({mp} AS VARCHAR) || '% of values are missing.' END")
+def miss_sql(mp: str) -> str:
+    return f"CASE WHEN {mp} = 0 THEN {q(S.MISSING['none'])} ELSE {S.said_sql(S.MISSING['some'], pct=f'CAST({mp} AS VARCHAR)')} END"
+
 
 
 def breakdown_sql(src: str, raw: str, cols) -> str:
@@ -177,34 +179,26 @@ def breakdown_sql(src: str, raw: str, cols) -> str:
         typ = basic_role_py(c, kind, "")
         lab = q(title(c))
         mp = f"(SELECT round(CASE WHEN count(*) > 0 THEN count_if({c} IS NULL) * 100.0 / count(*) ELSE 0 END, 1) FROM {raw})"
-        miss = MISS.format(mp=mp)
+        miss = miss_sql(mp)
         nd = f"count(DISTINCT {c})"
         if typ == "'ID'":
-            summ = (f"'The ' || {lab} || ' column is an identifier field with ' || {nd} || ' unique values. "
-                    f"It serves as a record key and is excluded from statistical analysis. ' || {miss}")
+            summ = S.said_sql(S.COLUMN["id"], label=lab, distinct=nd, missing=miss)
         elif typ == "'DateTime'":
-            summ = (f"'The ' || {lab} || ' column is a time-based feature spanning ' || "
-                    f"floor((epoch_us(max({c})) - epoch_us(min({c}))) / 86400000000)::BIGINT || ' days, from ' || "
-                    f"strftime(min({c}), '%Y-%m-%d') || ' to ' || strftime(max({c}), '%Y-%m-%d') || "
-                    f"'. It enables trend analysis, time-series forecasting, and temporal segmentation. ' || {miss}")
+            days = f"floor((epoch_us(max({c})) - epoch_us(min({c}))) / 86400000000)::BIGINT"
+            summ = S.said_sql(S.COLUMN["span"], label=lab, days=days, first=f"strftime(min({c}), '%Y-%m-%d')",
+                              last=f"strftime(max({c}), '%Y-%m-%d')", missing=miss)
         elif typ == "'Numeric'":
             sk = f"skewness({c})"
-            skt = (f"CASE WHEN {sk} > 1 THEN 'The distribution is right-skewed, indicating a few high outliers.' "
-                   f"WHEN {sk} < -1 THEN 'The distribution is left-skewed, indicating a few low outliers.' "
-                   f"ELSE 'The distribution is approximately normal.' END")
-            summ = (f"'The ' || {lab} || ' column is a numeric feature ranging from ' || printf('%.2f', min({c})::DOUBLE) "
-                    f"|| ' to ' || printf('%.2f', max({c})::DOUBLE) || ', with a mean of ' || printf('%.2f', avg({c})::DOUBLE) || "
-                    f"' and standard deviation of ' || printf('%.2f', stddev_samp({c})) || '. ' || {skt} || "
-                    f"' It is suitable for statistical analysis, correlation studies, and trend monitoring. ' || {miss}")
+            skt = f"CASE WHEN {sk} > 1 THEN {q(S.SHAPE['right'])} WHEN {sk} < -1 THEN {q(S.SHAPE['left'])} ELSE {q(S.SHAPE['even'])} END"
+            summ = S.said_sql(S.COLUMN["numeric"], label=lab, min=f"printf('%.2f', min({c})::DOUBLE)", max=f"printf('%.2f', max({c})::DOUBLE)",
+                              mean=f"printf('%.2f', avg({c})::DOUBLE)", std=f"printf('%.2f', stddev_samp({c}))", shape=skt, missing=miss)
         else:
             tops = (f"(SELECT string_agg(v, ', ' ORDER BY cnt DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, "
                     f"count(*) AS cnt FROM {src} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, v LIMIT 3))")
             topc = f"(SELECT max(cnt) FROM (SELECT count(*) AS cnt FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}))"
             pct = f"round(CASE WHEN count(*) > 0 THEN {topc} * 100.0 / count(*) ELSE 0 END, 1)"
-            summ = (f"'The ' || {lab} || ' column is a categorical feature with ' || {nd} || ' distinct values. "
-                    f"The most frequent values are ' || coalesce({tops}, '') || ', with the dominant category "
-                    f"accounting for ' || CAST({pct} AS VARCHAR) || '% of records. It is useful for segmentation, "
-                    f"grouping, and comparative analysis. ' || {miss}")
+            summ = S.said_sql(S.COLUMN["text"], label=lab, distinct=nd, top=f"coalesce({tops}, '')",
+                              share=f"CAST({pct} AS VARCHAR)", missing=miss)
         parts.append(f"SELECT {q(c)} AS \"column\", {i}::INTEGER AS ord, {typ} AS type, {mp} AS missing_percent, "
                      f"{nd} AS unique_values, {summ} AS summary FROM {src}")
     return union(parts)

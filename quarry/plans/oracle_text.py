@@ -10,6 +10,7 @@ done by marking the break with ``chr(1)`` first.
 from __future__ import annotations
 
 from quarry.functions import lexicons as L
+from quarry.functions import wording as S
 from quarry.functions.text import LINE_BREAK, NON_WORD, WS
 from quarry.operators.text_ops import HEADING
 from quarry.operators.text_pages import PAGE_NUMBER_LINE, PAGE_WORD_LINE
@@ -476,17 +477,9 @@ def iqr_sql(src: str, cols, health: bool) -> str:
                    for i, c in enumerate(cols))
     flag = " OR ".join(f"({c}::DOUBLE < a{i} - 1.5 * (b{i} - a{i}) OR {c}::DOUBLE > b{i} + 1.5 * (b{i} - a{i}))"
                        for i, c in enumerate(cols))
-    desc = ("CASE WHEN sev = 'low' THEN " + q(L.IQR_SEVERITY_DESC["low"]) + " WHEN sev = 'moderate' THEN "
-            + q(L.IQR_SEVERITY_DESC["moderate"]) + " ELSE " + q(L.IQR_SEVERITY_DESC["high"]) + " END")
-    if health:
-        summ = ("'Anomaly detection completed. ' || n_anomalies || ' unusual records were identified out of ' || "
-                "format('{:,}', total) || ' total records (' || CAST(pct AS VARCHAR) || '% anomaly rate). Anomaly "
-                "severity is assessed as ' || sev || '. ' || " + desc + " || ' Overall, the dataset is suitable for "
-                "clinical trend review, patient segmentation, anomaly detection, and healthcare analysis.'")
-    else:
-        summ = ("'Anomaly detection completed using IQR mathematical method. ' || n_anomalies || ' unusual records "
-                "were identified out of ' || format('{:,}', total) || ' total records (' || CAST(pct AS VARCHAR) || "
-                "'% anomaly rate). Severity: ' || sev || '. ' || " + desc)
+    advice = f"CASE sev WHEN 'low' THEN {q(S.ADVICE['low'])} WHEN 'moderate' THEN {q(S.ADVICE['moderate'])} ELSE {q(S.ADVICE['high'])} END"
+    summ = S.said_sql(S.IQR + (S.HEALTH_NOTE if health else ""), count="n_anomalies", total="format('{:,}', total)",
+                      rate="CAST(pct AS VARCHAR)", severity="sev", advice=advice)
     return f"""WITH s AS ({src}), qq AS (SELECT {qs} FROM s),
 a AS (SELECT count_if(coalesce({flag}, false)) AS n_anomalies, count(*) AS total FROM s CROSS JOIN qq),
 b AS (SELECT *, round(n_anomalies * 100.0 / total, 2) AS pct FROM a),
@@ -503,16 +496,14 @@ SELECT anomaly_pct, CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 8 TH
        CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 10 THEN 'moderate' ELSE 'high' END AS iqr_scale
 FROM r"""
 
-_ENT, _LOW, _MID, _HIGH = L.ANOMALY_PHRASES["sales"]
-ORACLE["anomaly_narrative"] = f"""WITH r AS ({iqr_sql('SELECT * FROM lineitem', ['l_orderkey', 'l_partkey',
-                                                                    'l_suppkey', 'l_linenumber', 'l_quantity'],
-                                                     False)}),
+_ENT, _LOW, _MID, _HIGH = S.ANOMALY_PHRASES["sales"]
+_TOLD = S.said_sql(S.ANOMALY, count="n_anomalies", total="total", entity=q(_ENT), rate="CAST(anomaly_pct AS VARCHAR)", severity="sev2",
+                   advice=f"CASE sev2 WHEN 'low' THEN {q(_LOW)} WHEN 'moderate' THEN {q(_MID)} ELSE {q(_HIGH)} END")
+ORACLE["anomaly_narrative"] = f"""WITH r AS ({iqr_sql('SELECT * FROM lineitem', ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber',
+                                                                     'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], False)}),
 s AS (SELECT *, CASE WHEN anomaly_pct < 3 THEN 'low' WHEN anomaly_pct < 8 THEN 'moderate' ELSE 'high' END AS sev2
       FROM r)
-SELECT 'sales' AS domain, 'Anomaly detection completed. ' || n_anomalies || ' unusual {_ENT} were identified out of '
-       || total || ' total records (' || CAST(anomaly_pct AS VARCHAR) || '% anomaly rate). Anomaly severity is '
-       || 'assessed as ' || sev2 || '. ' || CASE sev2 WHEN 'low' THEN {q(_LOW)} WHEN 'moderate' THEN {q(_MID)}
-       ELSE {q(_HIGH)} END AS ml_result FROM s"""
+SELECT 'sales' AS domain, {_TOLD} AS ml_result FROM s"""
 
 
 # ---------------------------------------------------------------------------

@@ -104,8 +104,9 @@ def test_headings_and_page_cleaning(spark):
 def test_page_summary_cut_at_400(spark):
     long_sentence = ("Alpha beta gamma delta epsilon zeta eta theta iota kappa. " * 12).strip()
     pages = spark.createDataFrame([(1, 1, 1, long_sentence)], TP.PAGE_SCHEMA)
-    s = TS.page_breakdown(pages).first().summary
+    s = TS.page_breakdown(pages, max_chars=400).first().summary
     assert len(s) <= 400
+    assert len(TS.page_breakdown(pages).first().summary) > 100
 
 
 def test_json_flatten_nested(spark):

@@ -559,7 +559,3 @@ from quarry.operators.text_structure import SECTION_PATTERNS  # noqa: E402
 ORACLE["research_sections"] = "SELECT doc_id, " + ", ".join(
     f"{strip(f'regexp_extract(lower(replace(text, chr(10), {q(chr(32))})), {q(pat)}, {grp})')} AS {name}"
     for name, pat, grp in SECTION_PATTERNS) + " FROM documents"
-
-ORACLE["report_select"] = f"""WITH {DOCS}
-SELECT doc_id, (CASE WHEN text = '' THEN 1 ELSE 5 END)::INTEGER AS n_insights,
-       (CASE WHEN text = '' THEN 1 ELSE 4 END)::INTEGER AS n_recommendations FROM prep"""

@@ -633,7 +633,8 @@ def q_breakdown_split(spark, sf):
 def q_sink_chart_tables(spark, sf):
     li = T.table(spark, sf, "lineitem")
     loc = SK.scratch_dir(spark, "charts")
-    written = SK.sink_chart_tables({"numeric_histogram": C.numeric_histogram(li)}, loc)
+    written = SK.sink_chart_tables({"numeric_histogram": r6(C.numeric_histogram(
+        li, cols=LI_NUMERIC, prof=C.TableProfile.of(li.select(*LI_NUMERIC), distinct=False)))}, loc)
     return spark.read.parquet(written["numeric_histogram"])
 
 
@@ -698,8 +699,8 @@ def q_report_select(spark, sf):
     a = D.text_analysis(_docs(spark, sf))
     r = RP.report_select(a.select("doc_id", "executive_summary", "key_insights", "recommendations"),
                          ["Detailed Report"])
-    return r.select("doc_id", F.size("key_insights").alias("n_insights"),
-                    F.size("recommendations").alias("n_recommendations"))
+    return r.select("doc_id", F.array_join("key_insights", " || ").alias("key_insights"),
+                    F.array_join("recommendations", " || ").alias("recommendations"))
 
 
 # ---------------------------------------------------------------------------

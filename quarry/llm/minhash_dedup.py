@@ -6,13 +6,15 @@
 2. Documents with equal sets form one class (a grouped minimum), so copies cost
    one row from here on.
 3. Classes that share a bucket are candidates.  Each first meets only the
-   bucket's smallest member, its hub, and of its hubs the one whose signature
+   bucket's most central member, its hub, and of its hubs the one whose signature
    agrees best; a group of n near copies costs n verifications, not n * n / 2.
 4. Candidates whose signatures agree enough are confirmed on their full sets.
    Confirmed links give components (large-star, small-star).
-5. What a hub did not connect is settled exactly: all pairs of a bucket whose
-   ends are still in different components are compared, again by signature and
-   then on full sets, and the components are merged.
+5. What the hubs did not connect is settled exactly, in buckets that still hold
+   several components.  Members are described by their edits against the hub
+   (``edit_keys``): a member that is not linked to the hub can only be linked to
+   one that shares enough of its edits, so candidates are found by joining on
+   rare edits instead of pairing the bucket; they are confirmed on full sets too.
 
 A pair at the threshold shares no bucket with probability
 ``(1 - threshold ** rows) ** bands``; the number of bands is chosen so that this
@@ -143,30 +145,83 @@ def _similar_signatures(pairs: DataFrame, nodes: DataFrame, least: int) -> DataF
     return map_arrow(pairs.join(sig("a"), "a").join(sig("b"), "b"), run, "a long, b long, agree long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the texts x of a and y of b."""
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    side = lambda i, x: texts.select(F.col("id").alias(i), F.col("text").alias(x))
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+def _sets(batch, width: int):
+    """(a, b, set of a, set of b) for the rows of a batch; rows of one b follow each other."""
+    last, of_last = None, None
+    for i, j, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                          text_bytes(batch.column("x")), text_bytes(batch.column("y"))):
+        if last != y:
+            last, of_last = y, shingles(y, width)
+        yield i, j, shingles(x, width), of_last
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
 
     def run(batches):
-        last, of_last = None, None
         for b in batches:
-            links = []
-            for i, j, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(),
-                                  text_bytes(b.column("x")), text_bytes(b.column("y"))):
-                if last != y:  # the rows of one b follow each other
-                    last, of_last = y, shingles(y, width)
-                own = shingles(x, width)
-                both = len(np.intersect1d(own, of_last, assume_unique=True))
-                if 100 * both >= threshold * (len(own) + len(of_last) - both):
-                    links.append((i, j))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
+            links = [(i, j) for i, j, x, y in _sets(b, width) if _linked(x, y, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return map_arrow(_with_texts(docs, pairs), run, "a long, b long")
+
+
+def edit_keys(x: np.ndarray, hub: np.ndarray, threshold: int, linked: bool) -> list[tuple[int, int, int]]:
+    """(shingle, own size class, partner's size class) under which a document can meet partners of its hub's group.
+
+    Documents are compared by their edits against the hub: x and y differ where their edits differ, so a link means
+    edits that overlap in at least ``c`` shingles, with c from the sizes alone.  Then the first ``edits - c + 1``
+    shingles of both, in one common order, share one.  What the hub lacks comes first: such shingles are the rarest.
+    """
+    own = np.setdiff1d(x, hub, assume_unique=True)
+    lost = np.setdiff1d(hub, x, assume_unique=True)
+    edits = np.concatenate([own, lost]).view(np.int64)
+    n, size, base = len(edits), len(x), len(hub)
+    most = lambda total: total * (100 - threshold) // (100 + threshold)  # noqa: E731  shingles in which linked sets of this total size differ
+    step = max(1, most(2 * base) // 6)
+    out = []
+    for k in range((n + most(size + base + n)) // step + 2):
+        low, high = k * step, (k + 1) * step - 1
+        # a partner that is linked to the hub itself is met by those that are not, and these have many edits
+        if linked and high * 200 <= (100 - threshold) * 2 * base:
+            continue
+        c = max(1, -((most(size + base + high) - n - low) // 2))
+        if c <= min(n, high):
+            out += [(t, n // step, k) for t in edits[:n - c + 1].tolist()]
+    return out
+
+
+def _hub_groups(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """For pairs (a, hub b): rows (hub, node, linked, shingle, own, partner) as ``edit_keys`` has them."""
 
-    side = lambda i, x: texts.select(F.col("id").alias(i), F.col("text").alias(x))
-    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return map_arrow(both, run, "a long, b long")
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, j, x, hub in _sets(b, width):
+                linked = _linked(x, hub, threshold)
+                rows += [(j, i, linked, *key) for key in edit_keys(x, hub, threshold, linked)]
+                if linked:
+                    rows.append((j, i, True, None, None, None))
+            names, kinds = ["hub", "node", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+            for at in range(0, len(rows), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + (1 << 17)]), kinds)], names)
+
+    return map_arrow(_with_texts(docs, pairs), run, "hub long, node long, linked boolean, shingle long, own int, partner int")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
@@ -182,8 +237,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROW
     least = _agreeing(rows, bands, threshold)
 
     rows_of = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).filter("c > 1")
-    members = checkpointed(rows_of.join(shared.select("key", "hub"), "key"))
+    shared = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    members = checkpointed(rows_of.join(shared, "key"))
+    # a bucket's hub is its most central member: the one that shares most buckets with most others
+    weight = members.groupBy("node").agg(F.sum("c").alias("w"))
+    hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("hub"))
+    members = checkpointed(members.select("key", "node").join(hubs, "key"))
     signed = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "signature"))
 
     stars = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -193,13 +252,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROW
     first = checkpointed(components(links))
 
     # pairs of a bucket that are still apart
-    here = members.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    here = members.join(first, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
     split = here.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    open_ = checkpointed(here.join(split, "key", "left_semi"))
-    left, right = (open_.select("key", F.col("node").alias(n), F.col("part").alias(f"p{n}")) for n in "ab")
-    apart = left.join(right, "key").filter("a > b AND pa <> pb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    apart = checkpointed(_similar_signatures(apart, signed, least))
-    more = _confirmed(docs, apart, threshold, width)
+    open_ = here.join(split, "key", "left_semi").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = checkpointed(_hub_groups(docs, open_, threshold, width))
+    direct = groups.filter("shingle IS NULL").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    lone = groups.filter("NOT linked").select("hub", "shingle", "own", "partner", F.col("node").alias("a"))
+    any_ = groups.filter("shingle IS NOT NULL").select("hub", "shingle", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("node").alias("b"))
+    apart = lone.join(any_, ["hub", "shingle", "own", "partner"]).filter("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    apart = _similar_signatures(apart, signed, least)
+    more = direct.unionByName(_confirmed(docs, checkpointed(apart), threshold, width))
     part = lambda i: first.select(F.col("node").alias(i), F.col("component").alias(f"p{i}"))
     merged = checkpointed(components(more.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
         F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))))
@@ -220,6 +283,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
-    """One document of each group of near duplicates, with its own columns."""
-    kept = near_duplicates(docs, threshold, rows=5, width=width).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near duplicates, with its own columns; of repeated rows one stays."""
+    kept = checkpointed(near_duplicates(docs, threshold, rows=5, width=width).filter("kept").select("doc_id"))
+    ids = kept.distinct()
+    n, different = kept.count(), ids.count()
+    wanted = F.broadcast(ids) if different <= BROADCAST_IDS else ids
+    out = docs.join(wanted, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    return out if n == different else out.dropDuplicates(["doc_id", "text"])

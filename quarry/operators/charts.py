@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.profile import basic_role_expr, column_stats, profile_role_expr
 from quarry.operators.quantiles import quantiles
-from quarry.operators.topk import top_k
+from quarry.operators.topk import global_rank, top_k
 
 
 @dataclass
@@ -262,12 +262,9 @@ def value_frequency(df: DataFrame, col: str, top: int | None = None) -> DataFram
     c = _c(col)
     counts = df.where(c.isNotNull()).groupBy(c.cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    from pyspark.sql import Window
     if top is not None:
         counts = counts.orderBy(F.desc("count"), F.asc("value")).limit(top)
-    # ranks over the distinct values of a (categorical) column
-    w = Window.orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w))
+    return global_rank(counts, [F.desc("count"), F.asc("value")])
 
 
 # ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexicons as L
 from quarry.functions.text import az_words, without
 from quarry.operators import charts as C
+from quarry.operators.topk import global_rank
 from quarry.operators.trends import bucket_counts
 
 
@@ -68,8 +69,7 @@ def delivery_by_traffic(df: DataFrame) -> DataFrame:
     """Box statistics of delivery time per traffic level, levels ordered by median."""
     cl = cols_lower(df)
     b = C.grouped_box_stats(df, cl["traffic_level"], [cl["delivery_time_min"]])
-    w = Window.orderBy("median", "group")
-    return b.withColumn("order", F.row_number().over(w)).withColumn(
+    return global_rank(b, [F.asc("median"), F.asc("group")], "order").withColumn(
         "traffic_level", F.col("group").cast("string")).drop("group", "column")
 
 
@@ -77,11 +77,14 @@ def mean_by(df: DataFrame, key: str, value: str, how: str = "avg") -> DataFrame:
     """Mean (or sum) of ``value`` per ``key``, largest first."""
     agg = F.avg if how == "avg" else F.sum
     # exact decimal accumulation: the result does not depend on how rows are
-    # spread over tasks (a double sum changes in its last bits with the order)
+    # spread over tasks (a double sum changes in its last bits with the order).
+    # Groups with values that a decimal can't hold closely are summed as doubles.
+    v = _c(value)
+    held = v.try_cast("decimal(38,10)")
+    lost = v.isNotNull() & (held.isNull() | ((v != 0) & (F.abs(v.cast("double")) < 1e-4)))
     g = df.where(_c(key).isNotNull()).groupBy(_c(key).cast("string").alias("key")).agg(
-        agg(_c(value).cast("decimal(38,10)")).cast("double").alias("value"))
-    w = Window.orderBy(F.desc("value"), "key")
-    return g.withColumn("order", F.row_number().over(w))
+        F.when(F.count_if(lost) > 0, agg(v.cast("double"))).otherwise(agg(held).cast("double")).alias("value"))
+    return global_rank(g, [F.desc("value"), F.asc("key")], "order")
 
 
 def delivery_by_weather(df: DataFrame) -> DataFrame:
@@ -130,8 +133,8 @@ def sales_monthly_trend(df: DataFrame) -> DataFrame:
 def share_of(df: DataFrame, col: str) -> DataFrame:
     """Count and percentage per value."""
     f = C.value_frequency(df, col)
-    w = Window.partitionBy()
-    return f.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(w))
+    total = f.agg(F.sum("count")).first()[0]
+    return f.withColumn("pct", F.col("count") * 100.0 / F.lit(total))
 
 
 def sales_deal_size(df: DataFrame) -> DataFrame:

@@ -283,7 +283,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
-    """One document of each group of near duplicates, with its own columns; of repeated rows one stays."""
+    """One document of each group of near duplicates, with its own columns; of repeated rows one stays.
+    Rows without an id count as one document: they stay if any of them does."""
     kept = checkpointed(near_duplicates(docs, threshold, rows=5, width=width).filter("kept").select("doc_id"))
     ids = kept.distinct()
     n, different = kept.count(), ids.count()

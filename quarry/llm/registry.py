@@ -32,7 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op1_sentencepiece": _on_documents(sentencepiece_codec.query),
     "op2_url_filter": url_filter.oracle_sql(),
     "op4_exact_topk": exact_topk.oracle_sql(),
     "op6_line_dedup": line_dedup.oracle_sql(),

@@ -70,3 +70,7 @@ def test_empty_tables(spark, tmp_path):
 def test_registration():
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(v, str) for v in E.oracle_sql().values())

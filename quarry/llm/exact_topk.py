@@ -35,7 +35,7 @@ SCALE = 256
 EVERY = 50
 TOP = 5
 QUERY_BLOCK = 16_384
-_QUERIES_AT_ONCE, _CANDIDATES_AT_ONCE, _DIMS_AT_ONCE = 256, 8192, 16
+_QUERIES_AT_ONCE, _FIRST, _CANDIDATES_AT_ONCE, _DIMS_AT_ONCE = 256, 512, 8192, 16
 
 
 def quantised(column: pa.Array, ids: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -79,12 +79,16 @@ class Search:
         if most >= 2.0 ** 53:
             raise ValueError("inner products beyond 2 ** 53 are not exact")
         kind = np.float32 if most < 2 ** 24 else np.float64  # integers are exact in both
-        for at in range(0, len(ids), _CANDIDATES_AT_ONCE):
-            part = vectors[at:at + _CANDIDATES_AT_ONCE][:, self.order]
+        at = 0
+        while at < len(ids):
+            # the first few set a bar for the others
+            size = _CANDIDATES_AT_ONCE if np.isfinite(self.score[:, -1]).all() else _FIRST
+            part = vectors[at:at + size][:, self.order]
             columns = np.ascontiguousarray(part.T.astype(kind))  # a row for each dimension
             rest = _suffix_mass(part, self.edges[1:])
             for q in range(0, len(self.ids), _QUERIES_AT_ONCE):
-                self._block(slice(q, q + _QUERIES_AT_ONCE), kind, ids[at:at + _CANDIDATES_AT_ONCE], columns, rest)
+                self._block(slice(q, q + _QUERIES_AT_ONCE), kind, ids[at:at + size], columns, rest)
+            at += size
 
     def _block(self, rows: slice, kind, ids, columns, rest) -> None:
         queries, bar = self.vectors[rows].astype(kind), self.score[rows, -1]
@@ -95,7 +99,7 @@ class Search:
                 partial += queries[:, lo:hi] @ columns[lo:hi, alive]
                 if not np.isfinite(bar).any():
                     continue
-                may = partial + self.rest[b, rows, None] * rest[b, None, alive] >= bar[:, None]
+                may = partial + self.rest[b][rows][:, None] * rest[b][alive] >= bar[:, None]
                 if may.mean() < 0.05:
                     i, j = np.nonzero(may)
                     pairs = i, alive[j], partial[i, j].astype(np.float64)
@@ -107,7 +111,10 @@ class Search:
                 keep = s + self.rest[b, rows][i] * rest[b, j] >= bar[i]
                 pairs = i[keep], j[keep], s[keep]
         if pairs is None:
-            i, j = np.nonzero(partial >= bar[:, None])
+            partial[ids[alive] == self.ids[rows][:, None]] = -np.inf
+            if len(alive) > self.top:  # of this block's scores, only the best can count
+                bar = np.maximum(bar, np.partition(partial, -self.top, axis=1)[:, -self.top])
+            i, j = np.nonzero((partial >= bar[:, None]) & np.isfinite(partial))
             pairs = i, alive[j], partial[i, j].astype(np.float64)
         i, j, s = pairs
         own = ids[j] == self.ids[rows][i]

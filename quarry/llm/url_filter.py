@@ -38,6 +38,7 @@ SCALE = 10_000_000
 MIN_DISTRUST = SCALE // 20
 DAMPING = 85  # of 100
 ROUNDS = 8
+BROADCAST_HOSTS = 300_000
 #: The host part of links that name one.
 LINK_HOST = r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,7 +106,10 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFram
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, min_distrust: int = MIN_DISTRUST) -> DataFrame:
     """Every page with its verdict and its host's scores."""
-    scored = judged(pages, rules).join(host_scores(pages, rules, rounds), "host", "left")
+    hosts = checkpointed(host_scores(pages, rules, rounds))
+    if hosts.count() <= BROADCAST_HOSTS:  # so that a host with a third of all pages needs no shuffle
+        hosts = F.broadcast(hosts)
+    scored = judged(pages, rules).join(hosts, "host", "left")
     blocked = (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce(
         "rule_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

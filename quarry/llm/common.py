@@ -125,6 +125,17 @@ class Memo(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` builds, kept in a Python worker from task to task; another operator's lets go of it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batches, most: int = 4 << 20, column: str = "text"):
     """Arrow batches cut into parts of about ``most`` bytes of text (one row at least)."""
     for batch in batches:

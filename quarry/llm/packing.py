@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, Memo, map_arrow, slices
+from .common import TOKENIZER_DIR, Memo, held, map_arrow, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_LENGTH = 2048
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: How the vocabulary's tokenizer splits text before merging (fixed by the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARKS = ",.!?;:*%$#&"
@@ -111,13 +111,8 @@ class Encoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("packing", path), lambda: Encoder(path))
 
 
 def pack(docs: DataFrame, vocabulary_path: str | None = None, longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold_of, map_arrow, slices, text_bytes
+from .common import Words, fold_of, held, map_arrow, slices, text_bytes
 from .labels import labelled_sample
 
 FOLDS = 5  # documents of fold 0 are held out
@@ -38,7 +38,7 @@ DIMS = 48
 NEIGHBOURS = 15
 POWER = 4  # of the similarity, in the vote
 THRESHOLD = 0.3
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _CAPITALS = re.compile(rb"[A-Z]+")
 _DIGITS = re.compile(rb"[0-9]+")
@@ -138,21 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     return Model(sorted((r.label, bytes(r.i), bytes(r.n)) for r in rows))
 
 
-_MEMO: dict = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        if _MEMO.get("model") is not m:  # word vectors live as long as the model
-            def rows(words):
-                f = np.array([word_features(w) for w in words])
-                return m.weights[f[:, 0]] + m.weights[f[:, 1]] + m.weights[f[:, 2]]
-            _MEMO.update(model=m, words=Words(MEMO_WORDS, m.weights.shape[1], rows))
-        known = _MEMO["words"]
+
+        def rows(words):
+            f = np.array([word_features(w) for w in words])
+            return m.weights[f[:, 0]] + m.weights[f[:, 1]] + m.weights[f[:, 2]]
+
+        # word vectors live as long as the model, which ``rows`` holds on to
+        known = held(("knn", id(m)), lambda: Words(MEMO_WORDS, m.weights.shape[1], rows))
         for b in slices(batches, 2 << 20):
             texts = text_bytes(b.column("text"))
             split = [t.split() for t in texts]

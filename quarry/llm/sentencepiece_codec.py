@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, Memo, map_arrow, slices, text_bytes
+from .common import TOKENIZER_DIR, Memo, held, map_arrow, slices, text_bytes
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words remembered per Python worker.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 
 
@@ -345,15 +345,12 @@ class Codec:
                 yield self.surface[i]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec per Python worker and model; its memo lives on between tasks."""
-    if path not in _CODECS:
+    def make():
         with open(path, "rb") as f:
-            _CODECS[path] = Codec(f.read())
-    return _CODECS[path]
+            return Codec(f.read())
+    return held(("sentencepiece", path), make)
 
 
 def encode(docs: DataFrame, model_path: str | None = None, decoded: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold_of, map_arrow, slices, text_bytes
+from .common import Words, fold_of, held, map_arrow, slices, text_bytes
 from .labels import labelled_sample
 
 FOLDS = 5  # documents of fold 0 are held out
@@ -40,7 +40,7 @@ BUCKETS = 1 << 13
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTENTION = 8, 12, 8, 8
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -200,8 +200,8 @@ def _windows_of(words: list[bytes]) -> list[list[bytes]]:
     return [words[s:s + WINDOW] for s in starts]
 
 
-def _sample_windows(sample: DataFrame) -> list[tuple[int, list[list[bytes]]]]:
-    """(label, windows) of the sample documents, cut on the executors."""
+def _sample_windows(sample: DataFrame) -> list[tuple[int, list[bytes]]]:
+    """(label, windows as blank-separated words) of the sample documents, cut on the executors."""
 
     def run(batches):
         for b in slices(batches):
@@ -210,19 +210,20 @@ def _sample_windows(sample: DataFrame) -> list[tuple[int, list[list[bytes]]]]:
                                              ["id", "label", "windows"])
 
     rows = map_arrow(sample.select("doc_id", "label", "text"), run, "id string, label int, windows array<binary>").collect()
-    return [(r.label, [bytes(w).split() for w in r.windows]) for r in sorted(rows, key=lambda r: (r.label, r.id))]
+    return [(r.label, [bytes(w) for w in r.windows]) for r in sorted(rows, key=lambda r: (r.label, r.id))]
 
 
-def _matrix(windows: list[list[bytes]], index: dict) -> tuple[np.ndarray, np.ndarray]:
-    number = np.zeros((len(windows), WINDOW), np.int64)
+def _matrix(windows: list[bytes], index: dict) -> tuple[np.ndarray, np.ndarray]:
+    number = np.zeros((len(windows), WINDOW), np.int32)
     mask = np.zeros((len(windows), WINDOW), np.float32)
-    for i, w in enumerate(windows):
+    for i, text in enumerate(windows):
+        w = text.split()
         number[i, :len(w)] = [index[x] for x in w]
         mask[i, :len(w)] = 1
     return number, mask
 
 
-def train(sample: list[tuple[int, list[list[bytes]]]], rounds: int = 6, batch: int = 256, first: int = 6000) -> Network:
+def train(sample: list[tuple[int, list[bytes]]], rounds: int = 6, batch: int = 256, first: int = 6000) -> Network:
     """Fit a network to (label, windows) of documents."""
     net, rng = Network(), np.random.default_rng(5)
     labels = np.array([x for x, _ in sample], np.float32)
@@ -233,7 +234,7 @@ def train(sample: list[tuple[int, list[list[bytes]]]], rounds: int = 6, batch: i
         return net
     windows = [w for _, ws in sample for w in ws]
     doc = np.repeat(np.arange(len(sample)), [len(ws) for _, ws in sample])
-    vocabulary = sorted({x for w in windows for x in w})
+    vocabulary = sorted({x for w in windows for x in w.split()})
     number, mask = _matrix(windows, {w: i for i, w in enumerate(vocabulary)})
     trainer = Trainer(net)
     for k in range(rounds):
@@ -268,15 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     return train(_sample_windows(labelled_sample(docs, labels, label_col, sample, FOLDS)))
 
 
-_MEMO: dict = {}
-
-
 def _scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """Each text's highest window score."""
-    if _MEMO.get("net") is not net:
-        _MEMO.update(net=net, words=Words(MEMO_WORDS, 6 * HIDDEN, net.gates))
+    known = held(("gru", id(net)), lambda: Words(MEMO_WORDS, 6 * HIDDEN, net.gates))  # holds on to the network
     split = [t.lower().split() for t in texts]
-    numbers = _MEMO["words"].numbers([w for ws in split for w in ws])
+    numbers = known.numbers([w for ws in split for w in ws])
     lengths = np.array([len(ws) for ws in split])
     counts = np.array([len(window_starts(n)) for n in lengths])
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -287,7 +284,7 @@ def _scores(net: Network, texts: list[bytes]) -> np.ndarray:
     offset = np.cumsum(lengths) - lengths
     at = np.where(mask, place + offset[doc][:, None], 0)
     number = numbers[at] if len(numbers) else np.zeros_like(at)
-    logits = predict(net, _MEMO["words"].table, number, mask.astype(np.float32))
+    logits = predict(net, known.table, number, mask.astype(np.float32))
     return _sigmoid(np.maximum.reduceat(logits.astype(np.float64), first))
 
 

@@ -174,7 +174,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) ->
     """Pairs (a, b) whose full sets are similar enough."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, column="x"):
             links = [(i, j) for i, j, x, y in _sets(b, width) if _linked(x, y, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -210,16 +210,24 @@ def _hub_groups(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -
     """For pairs (a, hub b): rows (hub, node, linked, shingle, own, partner) as ``edit_keys`` has them."""
 
     def run(batches):
-        for b in batches:
-            rows = []
+        names, kinds = ["hub", "node", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+        rows: list[tuple] = []
+
+        def out():
+            part = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            return part
+
+        for b in slices(batches, column="x"):
             for i, j, x, hub in _sets(b, width):
                 linked = _linked(x, hub, threshold)
                 rows += [(j, i, linked, *key) for key in edit_keys(x, hub, threshold, linked)]
                 if linked:
                     rows.append((j, i, True, None, None, None))
-            names, kinds = ["hub", "node", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-            for at in range(0, len(rows), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + (1 << 17)]), kinds)], names)
+                if len(rows) >= 1 << 15:
+                    yield out()
+        if rows:
+            yield out()
 
     return map_arrow(_with_texts(docs, pairs), run, "hub long, node long, linked boolean, shingle long, own int, partner int")
 

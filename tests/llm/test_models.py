@@ -159,3 +159,17 @@ def test_language_model_is_a_distribution():
         first = first or last
         m.learn(slots, bits, level)
     assert last < first  # it learns as it goes
+
+
+def test_language_model_keeps_four_predictors():
+    """Four contexts: none, one word, two words, the word before last; spelled words by the last one to four bytes."""
+    code = lm.Code([b"a", b"b", b"c", b""], [9, 8, 7, 6], 5)
+    symbol, _, c, level, _, _ = code.stream([[b"a", b"b", b"c"], [b"c", b"b", b"c"], [b"a", b"c", b"c"], [b"xyzzyzz"]])
+    assert len(c) == lm.PREDICTORS == 4
+    third = [2, 6, 10]  # the third words: the same, the word before, and the word before last differ in turn
+    same = lambda k, i, j: c[k][third[i]] == c[k][third[j]]
+    assert same(0, 0, 1) and same(1, 0, 1) and not same(2, 0, 1) and not same(3, 0, 1)
+    assert same(0, 0, 2) and not same(1, 0, 2) and not same(2, 0, 2) and same(3, 0, 2)
+    spelled = c[:, level == 1]
+    z = [3, 6]  # after xyz and xyzzyz: the same last two bytes
+    assert [spelled[k][z[0]] == spelled[k][z[1]] for k in range(4)] == [True, True, False, False]

@@ -173,3 +173,45 @@ def test_language_model_keeps_four_predictors():
     spelled = c[:, level == 1]
     z = [3, 6]  # after xyz and xyzzyz: the same last two bytes
     assert [spelled[k][z[0]] == spelled[k][z[1]] for k in range(4)] == [True, True, False, False]
+
+
+def _model_tables(spark, texts):
+    """The code, the slices and their pairs' counts as score_documents builds them, for training texts."""
+    words = [lm.tokens(t.encode()) + [lm.END] for t in texts]
+    n = collections.Counter(w for ws in words for w in ws)
+    known = sorted((w for w in n if n[w] >= lm.LEAST or w == lm.END), key=lambda w: (-n[w], w))
+    code = lm.Code(known, [n[w] for w in known], sum(c for w, c in n.items() if w not in known))
+    sent = spark.sparkContext.broadcast(code)
+    ids = [i for i in range(1, 10 * len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    own = lm.sliced(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(2), 10, 2_000)
+    return code, sent, own, lm.pair_table(own, sent), sum(n.values())
+
+
+def test_language_model_contexts_never_share_counts():
+    """More contexts than any fixed table had slots: each keeps its own."""
+    r = random.Random(1)
+    vocabulary = [b"w%d" % i for i in range(20_000)]
+    code = lm.Code([*vocabulary, b""], [9] * 20_001, 0)
+    text = [r.choice(vocabulary) for _ in range(60_000)]
+    slots, *_ = lm._bits(code, [text])
+    number = [code.index[w] for w in (*text, b"")]
+    want = {(a, b, x) for a, b, w in zip([-1, -1, *number], [-1, *number], number) for x in code.nodes[code.offsets[w]:code.offsets[w + 1]].tolist()}
+    assert len(np.unique(slots[2])) == len(want) > 1 << 19
+
+
+def test_language_model_counts_of_the_corpus(spark):
+    """Each slice gets, for each of its pairs, the counts along the path over the whole corpus."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd", f"rare{r.randrange(40)}"]) for _ in range(r.randrange(90))) for _ in range(80)]
+    code, sent, own, table, _ = _model_tables(spark, texts)
+    symbol, _, contexts, *_ = code.stream([lm.tokens(t.encode()) for t in texts])
+    pairs = collections.Counter((contexts << lm.SYMBOL | symbol).ravel().tolist())
+    at = collections.Counter()  # what came to each node in each context
+    path = lambda p: code.nodes[code.offsets[p & 0x7FFFF]:code.offsets[(p & 0x7FFFF) + 1]].tolist()
+    for p, n in pairs.items():
+        for x in path(p):
+            at[p >> lm.SYMBOL, x] += n
+    rows = table.collect()
+    assert {x.pair for x in rows} == set(pairs) and len({x._s for x in rows}) > 5
+    for x in rows:
+        assert np.frombuffer(x.counts, np.int32).tolist() == [at[x.pair >> lm.SYMBOL, k] for k in path(x.pair)] + [pairs[x.pair]]

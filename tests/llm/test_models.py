@@ -215,3 +215,20 @@ def test_language_model_counts_of_the_corpus(spark):
     assert {x.pair for x in rows} == set(pairs) and len({x._s for x in rows}) > 5
     for x in rows:
         assert np.frombuffer(x.counts, np.int32).tolist() == [at[x.pair >> lm.SYMBOL, k] for k in path(x.pair)] + [pairs[x.pair]]
+
+
+def test_language_model_learns_weights_in_small_steps(spark):
+    """A few kilobytes of text move the weights and fill the map, by counts of other slices only."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{(k + i) % 7} x{r.randrange(30)}" for k in range(60)) for i in range(120)]
+    code, sent, own, table, n = _model_tables(spark, texts)
+    m = lm.learn(lm.packed(own, table), sent, n)
+    moved = np.abs(m.weights - lm.START).max(1)
+    assert (moved > 0.05).sum() >= 3 and (m.seen.reshape(lm.GATES, lm.BINS, 2).sum((0, 2)) > 0).sum() > 6
+    assert m.seen.sum() == sum(len(lm._bits(code, [lm.tokens(t.encode())])[1]) for t in texts)
+    # texts of which nothing recurs elsewhere: their own counts must not make the longer contexts look known
+    lone = [" ".join(f"{chr(97 + i)}{chr(97 + k)}" for k in range(20) for _ in range(5)) + " q" * 900 for i in range(8)]
+    code, sent, own, table, n = _model_tables(spark, [t.replace("q", chr(97 + i) * 3) for i, t in enumerate(lone)])
+    m = lm.learn(lm.packed(own, table), sent, n)
+    gates = m.seen.reshape(lm.LEVELS, lm.KNOWN, lm.KNOWN, -1).sum(-1)
+    assert gates[0, 0, 0] > 0.9 * gates[0].sum()

@@ -28,8 +28,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; those left without a word go."""
-    cleaned = line_dedup.dedup(docs)
+    """Documents without cross-site boilerplate lines and repeated passages; those left without a word go."""
+    cleaned = line_dedup.dedup(docs, long_sites=line_dedup.LONG_SITES)
     whole = (F.col("n_removed") == 0) | F.col("text").rlike(f"[^{SPACE}]")
     return cleaned.filter(F.coalesce(whole, F.lit(True))).select(*docs.columns)
 

@@ -1,6 +1,8 @@
 """Line dedup by distinct-site spread.
 
-A line is boilerplate when it stands on at least ``min_sites`` distinct sites.
+A line is boilerplate when it stands on at least ``min_sites`` distinct sites; for
+a passage, a line of more than ``LONG_WORDS`` words, ``long_sites`` are enough
+where the caller gives them (the pipeline does; the query keeps to its SQL).
 A HyperLogLog sketch of the sites is kept per line hash and merged by
 aggregation, so a line on a billion pages costs one sketch per task, not a list
 of sites.  Sketches are uncertain near the threshold: lines whose estimate lies
@@ -27,17 +29,24 @@ from pyspark.sql import functions as F
 from .common import SPACE, checkpointed
 
 MIN_SITES = 10
+LONG_WORDS, LONG_SITES = 50, 2  # passages repeat by copying, not by chance
 LG_K = 10  # registers: 2 ** LG_K, standard error 1.04 / sqrt(2 ** LG_K)
 BAND = 5.0
 _KEY = ["_h", "_n"]
 
 
 def _lines(docs: DataFrame, site_col: str) -> DataFrame:
-    """Lines with a word: document key, id, position, line key, site."""
+    """Lines with a word: document key, id, position, line key, site, whether it is long."""
     x = docs.select(_doc_key().alias("_k"), F.col("doc_id").alias("_id"), F.col(site_col).alias("_site"),
                     F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_line"))
     return x.filter(F.col("_line").rlike(f"[^{SPACE}]")).select(
-        "_k", "_id", "_pos", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"), "_site")
+        "_k", "_id", "_pos", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"), "_site", _long("_line").alias("_long"))
+
+
+def _long(line: str):
+    words = F.filter(F.split(line, f"[{SPACE}]+"), lambda w: w != "")
+    # so many words and the blanks between them take at least twice as many characters
+    return F.when(F.length(line) > 2 * LONG_WORDS, F.size(words) > LONG_WORDS).otherwise(False)
 
 
 def _doc_key():
@@ -46,29 +55,30 @@ def _doc_key():
 
 
 def spread(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", lg_k: int = LG_K,
-           band: float = BAND) -> DataFrame:
+           band: float = BAND, long_sites: int | None = None) -> DataFrame:
     """Boilerplate lines: key, first occurrence (``_first``), ``n_sites`` (estimate, or exact near the threshold)."""
     lines = _lines(docs, site_col)
     site = F.coalesce(F.xxhash64(F.lit(0), "_site"), F.lit(0))
     est = lines.groupBy(*_KEY).agg(
         F.hll_sketch_agg(site, lg_k).alias("_s"), F.count(F.lit(1)).alias("_c"),
-        F.min(F.struct("_id", "_pos")).alias("_first"))
+        F.min(F.struct("_id", "_pos")).alias("_first"), F.max("_long").alias("_long"))
+    need = F.when(F.col("_long"), F.lit(min_sites if long_sites is None else min(long_sites, min_sites))).otherwise(F.lit(min_sites))
     width = band * 1.04 / 2 ** (lg_k / 2)
-    low, high = min_sites * (1 - width), min_sites * (1 + width)
-    est = checkpointed(est.filter(F.col("_c") >= min_sites)
-                       .withColumn("_e", F.hll_sketch_estimate("_s")).drop("_s").filter(F.col("_e") >= F.floor(F.lit(low))))
-    near = est.filter(F.col("_e") <= F.ceil(F.lit(high)))
+    low, high = F.floor(F.col("_need") * (1 - width)), F.ceil(F.col("_need") * (1 + width))
+    est = checkpointed(est.withColumn("_need", need).drop("_long").filter(F.col("_c") >= F.col("_need"))
+                       .withColumn("_e", F.hll_sketch_estimate("_s")).drop("_s").filter(F.col("_e") >= low))
+    near = est.filter(F.col("_e") <= high)
     # exact counts, one row per (line, site) and task before any shuffle
     pairs = lines.select(*_KEY, "_site").join(near.select(*_KEY), _KEY, "left_semi").groupBy(*_KEY, "_site").agg(F.lit(1).alias("_one"))
     exact = pairs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_x"))
-    sure = est.filter(F.col("_e") > F.ceil(F.lit(high))).select(*_KEY, "_first", F.col("_e").alias("n_sites"))
-    checked = near.join(exact, _KEY).filter(F.col("_x") >= min_sites).select(*_KEY, "_first", F.col("_x").alias("n_sites"))
+    sure = est.filter(F.col("_e") > high).select(*_KEY, "_first", F.col("_e").alias("n_sites"))
+    checked = near.join(exact, _KEY).filter(F.col("_x") >= F.col("_need")).select(*_KEY, "_first", F.col("_x").alias("n_sites"))
     return sure.unionByName(checked)
 
 
-def dedup(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source") -> DataFrame:
+def dedup(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", long_sites: int | None = None) -> DataFrame:
     """The documents with boilerplate lines removed; adds ``n_lines`` and ``n_removed``."""
-    bad = checkpointed(spread(docs, min_sites, site_col))
+    bad = checkpointed(spread(docs, min_sites, site_col, long_sites=long_sites))
     hit = _lines(docs, site_col).join(bad, _KEY).filter(
         ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_pos") == F.col("_first._pos"))))
     drops = hit.groupBy("_k").agg(F.array_distinct(F.collect_list("_pos")).alias("_drop"))

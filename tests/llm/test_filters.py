@@ -90,6 +90,17 @@ def test_line_dedup_exact_near_threshold(spark):
     assert got == {5, 6, 7, 8, 9}
 
 
+def test_line_dedup_passages_in_a_hot_source(spark):
+    """Passages of over 50 words go when they are on two sites, most copies in one; a shorter line on nine sites stays."""
+    passage = lambda k, n=51: " ".join(f"p{k}w{i}" for i in range(n))
+    rows = [(k * 100 + i, f"own {k} {i}\n{passage(k)}", "hot" if i < 19 else f"site{k}") for k in range(6) for i in range(20)]
+    rows += [(1000 + i, f"own {i}\n{passage(99, 50)}\n{'x ' * 60}alone{i}", f"site{i % 9}") for i in range(20)]
+    rows += [(2000 + i, f"own {i}\n{passage(77)}", "hot") for i in range(20)]  # one site only
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed for r in ld.dedup(df, long_sites=ld.LONG_SITES).collect()}
+    assert got == {i: int(i < 1000 and i % 100 > 0) for i, *_ in rows}
+
+
 def test_url_parts_and_rules(spark):
     urls = {"http://a.example.com/en/x": ("block", "example.com/en/"), "http://www.example.com/en/x": ("allow", "www.example.com/en/"),
             "HTTPS://WWW.Example.COM/fr/": ("allow", "com/"), "http://x.net/es/1?a#b": ("block", "net/es/"), "http://x.net/en/": (None, None),

@@ -61,6 +61,14 @@ def test_stages(spark, tmp_path):
     assert df.groupBy("doc_id").sum("length").count() == len(kept[3])
 
 
+def test_passages_in_a_hot_source(spark):
+    """A passage of over 50 words goes when it is on two sites, most copies in one; a shorter line on nine sites stays."""
+    line = lambda k, n: " ".join(f"p{k}w{i}" for i in range(n))
+    docs = [(i, f"own {i}\n{line(1, 51)}\n{line(2, 50)}", "en", "hot" if i < 90 else f"s{i % 8}", 1) for i in range(98)]
+    kept = {r.doc_id: r.text for r in cp.drop_boilerplate(spark, spark.createDataFrame(docs, SCHEMA), "").collect()}
+    assert kept == {d[0]: d[1] if d[0] == 0 else f"own {d[0]}\n{line(2, 50)}" for d in docs}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -11,6 +11,7 @@ import pytest
 from quarry.llm import lm_mixing as lm
 from quarry.llm import quality_knn as knn
 from quarry.llm import toxicity_gru as gru
+from quarry.llm.labels import labelled_sample
 
 ODD = [(1, "Some Words here.\nAnd more", "c"), (2, None, "c"), (3, "", "c"), (None, "null id", "c"), (1, "Some Words here.\nAnd more", "c"),
        (5, "long " * 30_000, "c"), (6, "\x00 é日😀 \t\n", "c")]
@@ -232,3 +233,13 @@ def test_language_model_learns_weights_in_small_steps(spark):
     m = lm.learn(lm.packed(own, table), sent, n)
     gates = m.seen.reshape(lm.LEVELS, lm.KNOWN, lm.KNOWN, -1).sum(-1)
     assert gates[0, 0, 0] > 0.9 * gates[0].sum()
+
+
+def test_sample_has_one_row_for_an_id_that_repeats(spark):
+    """A labelled id on very many rows is one sample row, whatever their order."""
+    rows = [(1, f"text {i % 3}") for i in range(500)] + [(i, None if i == 7 else f"own {i}") for i in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, y int")
+    got = [sorted(map(tuple, labelled_sample(d, marks, "y", 100, 5).collect())) for d in (df, df.orderBy("text"), df.repartition(7))]
+    want = {i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5}
+    assert 1 in want and got[0] == got[1] == got[2] and [r[0] for r in got[0]] == sorted(want)

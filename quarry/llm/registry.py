@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, line_dedup, lm_mixing, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, toxicity_gru, url_filter
+from . import exact_topk, line_dedup, lm_mixing, merkle_manifest, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, toxicity_gru, url_filter
 from .common import documents
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _on_documents(quality_rules.query),
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
     "op10_quality_knn": lambda spark, d: quality_knn.query(documents(spark, d), _labels(spark, d)),
+    "op12_merkle_manifest": _on_documents(merkle_manifest.query),
 }
 
 ORACLE: dict[str, str] = {
@@ -36,4 +37,5 @@ ORACLE: dict[str, str] = {
     "op4_exact_topk": exact_topk.oracle_sql(),
     "op6_line_dedup": line_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
+    "op12_merkle_manifest": merkle_manifest.oracle_sql(),
 }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, line_dedup, lm_mixing, merkle_manifest, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_codec, toxicity_gru, url_filter
+from . import (exact_topk, line_dedup, lm_mixing, merkle_manifest, minhash_dedup, packing, quality_knn, quality_rules, ranked_search,
+               sentencepiece_codec, toxicity_gru, url_filter)
 from .common import documents
 
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
     "op10_quality_knn": lambda spark, d: quality_knn.query(documents(spark, d), _labels(spark, d)),
     "op12_merkle_manifest": _on_documents(merkle_manifest.query),
+    "op13_ranked_search": lambda spark, d: ranked_search.query(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 
 ORACLE: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": line_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
     "op12_merkle_manifest": merkle_manifest.oracle_sql(),
+    "op13_ranked_search": ranked_search.oracle_sql(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (exact_topk, line_dedup, lm_mixing, merkle_manifest, minhash_dedup, packing, quality_knn, quality_rules, ranked_search,
+from . import (exact_topk, html_text, line_dedup, lm_mixing, merkle_manifest, minhash_dedup, packing, quality_knn, quality_rules, ranked_search,
                sentencepiece_codec, toxicity_gru, url_filter)
 from .common import documents
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _on_documents(quality_rules.query),
     "op9_minhash_dedup": _on_documents(minhash_dedup.query),
     "op10_quality_knn": lambda spark, d: quality_knn.query(documents(spark, d), _labels(spark, d)),
+    "op11_html_text": lambda spark, d: html_text.query(spark.read.parquet(f"{d}/pages.parquet")),
     "op12_merkle_manifest": _on_documents(merkle_manifest.query),
     "op13_ranked_search": lambda spark, d: ranked_search.query(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }

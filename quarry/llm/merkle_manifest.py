@@ -11,8 +11,10 @@ The subroots, ordered by group, form a tree of their own up to the root.
   Trees are numbered by group; the tree of the subroots is tree -1.
 * **Ranks** come from range partitions: rows are sorted inside their partition, and
   each partition starts after what earlier ones hold of its group.  No group is sorted in one task.
-* **The climb** is a recursive query: from each leaf a row ascends by its parent link,
-  appends the siblings of its run to its proof and folds the tampered hash with them.
+* **The climb** is a recursive query: from each leaf a row ascends by its parent link and folds the tampered
+  hash with the siblings of its run.  A second one appends the siblings themselves.  From the first parent on they
+  are the same for the eight leaves of a run, so it climbs once for each run, and each leaf puts the siblings of
+  its own run before; the long proofs (224 bytes a level) thus pass the steps of the recursion for an eighth of the rows.
   Nodes of one level are as many as the rows' distinct keys there.  Levels of at most
   ``BROADCAST_NODES`` nodes, whose few keys every row shares, are broadcast (their size
   is counted before: about 400 bytes a node, at most some twenty levels); the levels
@@ -148,29 +150,36 @@ def build(docs: DataFrame, fields=FIELDS, key: str = "doc_id", group: str = "lan
     nodes = stored(nodes)
     top = (outer[-1] if outer else subroots).select(F.lower(F.hex("digest"))).first()
     links = _links(F.col("tree"), F.lit(0), F.col("pos"), F.col("n"), trees)
-    ranked = ranked.withColumns({"subroot": F.when(F.col("n") == 1, F.col("leaf"))}).select("*", *links)
+    ranked = ranked.select("*", *links)
     return Manifest(ranked, nodes, top[0] if top else None, counts)
 
 
-_CLIMB = """
-WITH RECURSIVE climb(key, leaf, subroot, folded, proof, up_tree, up_level, up_pos, ordinal) AS (
-  SELECT key, leaf, subroot, folded, proof, up_tree, up_level, up_pos, ordinal FROM {rows}
+_FOLD = """
+WITH RECURSIVE climb(key, at_tree, at_level, at_pos, at_ordinal, alone, folded, up_tree, up_level, up_pos, ordinal) AS (
+  SELECT key, at_tree, at_level, at_pos, at_ordinal, alone, folded, up_tree, up_level, up_pos, ordinal FROM {rows}
   UNION ALL
-  SELECT c.key, c.leaf, CASE WHEN n.is_subroot THEN n.digest ELSE c.subroot END,
+  SELECT c.key, c.at_tree, c.at_level, c.at_pos, c.at_ordinal, c.alone,
          unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.ordinal), c.folded, substring(n.children, 32 * c.ordinal + 33)))), 256)),
+         n.up_tree, n.up_level, n.up_pos, n.ordinal
+  FROM climb c JOIN {nodes} n ON c.up_tree = n.tree AND c.up_level = n.level AND c.up_pos = n.pos)
+SELECT * FROM climb"""
+
+_PROVE = """
+WITH RECURSIVE climb(tree, level, pos, subroot, proof, up_tree, up_level, up_pos, ordinal) AS (
+  SELECT tree, level, pos, subroot, proof, up_tree, up_level, up_pos, ordinal FROM {rows}
+  UNION ALL
+  SELECT c.tree, c.level, c.pos, CASE WHEN n.is_subroot THEN n.digest ELSE c.subroot END,
          concat(c.proof, substring(n.children, 1, 32 * c.ordinal), substring(n.children, 32 * c.ordinal + 33)),
          n.up_tree, n.up_level, n.up_pos, n.ordinal
   FROM climb c JOIN {nodes} n ON c.up_tree = n.tree AND c.up_level = n.level AND c.up_pos = n.pos)
 SELECT * FROM climb"""
 
 
-def climb(m: Manifest) -> DataFrame:
-    """Every leaf's way to the root: key, leaf, subroot, folded (from the tampered hash), proof (siblings end to end), as digests."""
-    spark = m.leaves.sparkSession
-    rows = m.leaves.select("key", "leaf", "subroot", F.coalesce("tampered", "leaf").alias("folded"), F.lit(b"").alias("proof"),
-                           "up_tree", "up_level", "up_pos", "ordinal")
+def _ascend(m: Manifest, rows: DataFrame, levels: list, query: str) -> DataFrame:
+    """``rows`` at the end of their way up through ``levels``, by a recursive query per run of levels of one size class."""
+    spark = rows.sparkSession
     phases = []  # consecutive levels of one kind: (broadcast them, their (is_outer, level))
-    for is_outer, level, n in m.levels:
+    for is_outer, level, n in levels:
         small = n <= BROADCAST_NODES
         if not (phases and phases[-1][0] == small):
             phases.append((small, []))
@@ -178,17 +187,34 @@ def climb(m: Manifest) -> DataFrame:
     before = spark.conf.get(_ROW_LIMIT)
     spark.conf.set(_ROW_LIMIT, "-1")  # as many rows as leaves
     try:
-        for small, levels in phases:
+        for small, part in phases:
             inside = lambda tree, level: F.coalesce(F.concat_ws("/", (tree < 0).cast("string"), level).isin(
-                [f"{str(o).lower()}/{k}" for o, k in levels]), F.lit(False))
-            nodes = m.nodes.filter(F.col("level").isin(sorted({k for _, k in levels}))).filter(inside(F.col("tree"), F.col("level")))
+                [f"{str(o).lower()}/{k}" for o, k in part]), F.lit(False))
+            nodes = m.nodes.filter(F.col("level").isin(sorted({k for _, k in part}))).filter(inside(F.col("tree"), F.col("level")))
             nodes = F.broadcast(nodes) if small else nodes
-            steps = spark.sql(_CLIMB, rows=rows, nodes=nodes)
+            steps = spark.sql(query, rows=rows, nodes=nodes)
             # of all steps the last in these levels
             rows = stored(steps.filter(F.col("up_tree").isNull() | ~inside(F.col("up_tree"), F.col("up_level"))))
     finally:
         spark.conf.set(_ROW_LIMIT, before)
-    return rows.select("key", "leaf", "subroot", "folded", "proof")
+    return rows
+
+
+def climb(m: Manifest) -> DataFrame:
+    """Every leaf's way to the root: key, leaf, subroot, folded (from the tampered hash), proof (siblings end to end), as digests."""
+    up = ["up_tree", "up_level", "up_pos", "ordinal"]
+    rows = m.leaves.select("key", *[F.col(c).alias(f"at_{c.removeprefix('up_')}") for c in up], F.when(F.col("up_tree").isNull(), F.col("leaf")).alias("alone"),
+                           F.coalesce("tampered", "leaf").alias("folded"), *up)
+    folded = _ascend(m, rows, m.levels, _FOLD)
+    parents = m.nodes.filter("level = 1")  # of leaves: every such node but some of the few among the subroots
+    rows = parents.select("tree", "level", "pos", F.when(F.col("is_subroot"), F.col("digest")).alias("subroot"), F.lit(b"").alias("proof"), *up)
+    above = _ascend(m, rows, [x for x in m.levels if x[:2] != (False, 1)], _PROVE)
+    above = above.select("tree", "level", "pos", "subroot", "proof").join(parents.select("tree", "level", "pos", "children"), ["tree", "level", "pos"])
+    on = (F.col("at_tree") == F.col("tree")) & (F.col("at_level") == F.col("level")) & (F.col("at_pos") == F.col("pos"))
+    leaf = F.coalesce("alone", F.expr("substring(children, 32 * at_ordinal + 1, 32)"))
+    run = F.expr("concat(substring(children, 1, 32 * at_ordinal), substring(children, 32 * at_ordinal + 33), proof)")
+    return folded.join(above, on, "left").select(
+        "key", leaf.alias("leaf"), F.coalesce("subroot", leaf).alias("subroot"), "folded", F.coalesce(run, F.lit(b"")).alias("proof"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,27 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def two_decimals(c: Column) -> Column:
+    """A double with two decimals, rounded by its exact binary value (0.575 lies below the tie: 0.57).
+
+    ``format_string`` rounds the shortest decimal instead.  An exact tie goes to the even digit.  From 1e13 on, where hundredths fade, and for NaN it is left to ``format_string``.
+    """
+    def of(x: Column) -> Column:
+        a = F.abs(x)
+        big = a * 134217729.0  # splits a into halves whose products with 100 are exact
+        high = big - (big - a)
+        product = a * 100.0
+        error = (high * 100.0 - product) + (a - high) * 100.0
+        n = F.floor(product)
+        over = (product - n) - 0.5 + error
+        up = (over > 0) | ((over == 0) & (n % 2 == 1))
+        k = F.when(up, n + 1).otherwise(n)
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+        whole = F.concat(sign, F.floor(k / 100).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+        return F.when(a < 1e13, whole).otherwise(F.format_string("%.2f", x))
+    return bound(c.cast("double"), lambda x: F.when(x.isNotNull(), of(x)))
+
+
 def strip_ws(c: Column) -> Column:
     """Trim Unicode whitespace from both ends (``trim`` only removes spaces)."""
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")

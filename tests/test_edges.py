@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import charts as C
 from quarry.operators import clean as CL
 from quarry.operators import text_ops as TO
@@ -203,3 +204,13 @@ def test_document_stream(spark):
     q.awaitTermination(300)
     n_docs = spark.read.parquet(src).count()
     assert spark.read.parquet(out).select("doc_id").distinct().count() == n_docs
+
+
+def test_two_decimals_round_the_exact_value(spark):
+    values = [0.575, 0.125, 0.375, 2.675, 1.005, 0.285, 10.235, 1.115, 8.345, 0.0, -0.0, -0.001, -2.675, 0.995, 99.995, 1e12 + 0.125, 123456.785, 0.005, -0.125]
+    values += [k / 1000 for k in range(5, 20000, 10)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [tuple(r) for r in df.select("x", T.two_decimals(F.col("x"))).collect()]
+    assert got == [(x, f"{x:.2f}") for x in values]
+    empty = spark.createDataFrame([(None,), (1e15,)], "x double").select(T.two_decimals(F.col("x"))).collect()
+    assert [r[0] for r in empty] == [None, "1000000000000000.00"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -73,9 +74,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
+    """``mapInArrow`` by a function of this package; its worker gives freed memory back when a task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which lives on between tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -14,7 +14,8 @@
    several components.  Members are described by their edits against the hub
    (``edit_keys``): a member that is not linked to the hub can only be linked to
    one that shares enough of its edits, so candidates are found by joining on
-   rare edits instead of pairing the bucket; they are confirmed on full sets too.
+   rare edits, across components only, instead of pairing the bucket; they are
+   confirmed on full sets too.
 
 A pair at the threshold shares no bucket with probability
 ``(1 - threshold ** rows) ** bands``; the number of bands is chosen so that this
@@ -146,13 +147,13 @@ def _similar_signatures(pairs: DataFrame, nodes: DataFrame, least: int) -> DataF
 
 
 def _with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the texts x of a and y of b."""
+    """Pairs (a, b, and what else they hold) with the texts x of a and y of b."""
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     side = lambda i, x: texts.select(F.col("id").alias(i), F.col("text").alias(x))
-    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
 
 def _sets(batch, width: int):
@@ -207,10 +208,10 @@ def edit_keys(x: np.ndarray, hub: np.ndarray, threshold: int, linked: bool) -> l
 
 
 def _hub_groups(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """For pairs (a, hub b): rows (hub, node, linked, shingle, own, partner) as ``edit_keys`` has them."""
+    """For pairs (a, hub b, part of a): rows (hub, node, part, linked, shingle, own, partner) as ``edit_keys`` has them."""
 
     def run(batches):
-        names, kinds = ["hub", "node", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = ["hub", "node", "part", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
         rows: list[tuple] = []
 
         def out():
@@ -219,17 +220,17 @@ def _hub_groups(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -
             return part
 
         for b in slices(batches, column="x"):
-            for i, j, x, hub in _sets(b, width):
+            for (i, j, x, hub), part in zip(_sets(b, width), b.column("part").to_pylist()):
                 linked = _linked(x, hub, threshold)
-                rows += [(j, i, linked, *key) for key in edit_keys(x, hub, threshold, linked)]
+                rows += [(j, i, part, linked, *key) for key in edit_keys(x, hub, threshold, linked)]
                 if linked:
-                    rows.append((j, i, True, None, None, None))
+                    rows.append((j, i, part, True, None, None, None))
                 if len(rows) >= 1 << 15:
                     yield out()
         if rows:
             yield out()
 
-    return map_arrow(_with_texts(docs, pairs), run, "hub long, node long, linked boolean, shingle long, own int, partner int")
+    return map_arrow(_with_texts(docs, pairs), run, "hub long, node long, part long, linked boolean, shingle long, own int, partner int")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
@@ -262,12 +263,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROW
     # pairs of a bucket that are still apart
     here = members.join(first, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
     split = here.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    open_ = here.join(split, "key", "left_semi").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    open_ = here.join(split, "key", "left_semi").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "part").distinct()
     groups = checkpointed(_hub_groups(docs, open_, threshold, width))
     direct = groups.filter("shingle IS NULL").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    lone = groups.filter("NOT linked").select("hub", "shingle", "own", "partner", F.col("node").alias("a"))
-    any_ = groups.filter("shingle IS NOT NULL").select("hub", "shingle", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("node").alias("b"))
-    apart = lone.join(any_, ["hub", "shingle", "own", "partner"]).filter("a <> b").select(
+    keyed = groups.filter("shingle IS NOT NULL")
+    lone = keyed.filter("NOT linked").select("hub", "shingle", "own", "partner", F.col("node").alias("a"), F.col("part").alias("pa"))
+    any_ = keyed.select("hub", "shingle", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("node").alias("b"), F.col("part").alias("pb"))
+    # what is connected already needs no pair
+    apart = lone.join(any_, ["hub", "shingle", "own", "partner"]).filter("pa <> pb").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     apart = _similar_signatures(apart, signed, least)
     more = direct.unionByName(_confirmed(docs, checkpointed(apart), threshold, width))

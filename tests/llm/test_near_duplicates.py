@@ -114,3 +114,28 @@ def test_components_match_union_find(spark):
     got = {x.node: x.component for x in components(df).collect()}
     assert got == {n: find(n) for n in list(root)}
     assert components(df.limit(0)).count() == 0
+
+
+def test_families_around_a_foreign_hub_are_not_paired(spark, monkeypatch):
+    """Two families that share most of a text: the smaller one is not joined pair by pair."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    common = [word() for _ in range(240)]
+    rows = []
+    for family, size in ((0, 180), (1, 60)):
+        own = [word() for _ in range(45)]
+        for _ in range(size):
+            text = common + own
+            text[r.randrange(240)] = word()
+            rows.append((len(rows), " ".join(text)))
+    pairs, confirm = [], mh._confirmed
+
+    def counted(docs, candidates, *more):
+        pairs.append(candidates.count())
+        return confirm(docs, candidates, *more)
+
+    monkeypatch.setattr(mh, "_confirmed", counted)
+    got = sorted(tuple(x) for x in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == _brute(rows, 85, 3)
+    assert len({c for *_, c, _ in got}) == 2
+    assert pairs[0] <= len(rows) and sum(pairs[1:]) <= 2 * len(rows)

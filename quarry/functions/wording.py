@@ -56,6 +56,11 @@ SHAPE = {"right": "A few values are far above the rest.", "left": "A few values
          "even": "Neither end has a long tail."}
 MISSING = {"none": "Every row has a value.", "some": "{pct}% of the rows have no value."}
 
+# ---- tone of a text ----
+
+TONE = [("Positive", "words of approval outnumber the others"), ("Negative", "words of warning outnumber the others"),
+        ("Neutral", "neither approval nor warning stands out")]
+
 # ---- outliers ----
 
 ANOMALY = "{count} of {total} {entity} stand out ({rate}%), severity {severity}. {advice}"

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicons as L
+from quarry.functions import wording as S
 from quarry.functions.text import (WS, az_words, collapse_ws, keep_only, sentences_split, strip_ws,
                                    without)
 from quarry.operators.topk import top_k
@@ -129,7 +130,7 @@ def sentiment_cols(text: Column, pos_words=L.POSITIVE_WORDS, neg_words=L.NEGATIV
 
 def sentiment_desc(label: Column) -> Column:
     out = F.when(F.lit(False), F.lit(None))
-    for lab, desc in L.SENTIMENT_DESC:
+    for lab, desc in S.TONE:
         out = out.when(label == lab, desc)
     return out.otherwise("balanced tone")
 

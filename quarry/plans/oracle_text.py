@@ -172,7 +172,7 @@ SELECT doc_id, {domain_case('lower(cleaned_text)', L.DOC_TYPES, 'general')} AS d
 
 POS = lst(L.POSITIVE_WORDS)
 NEG = lst(L.NEGATIVE_WORDS)
-DESC = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in L.SENTIMENT_DESC)
+DESC = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in S.TONE)
 
 
 def sentiment_sql(src: str, text: str, prelude: str) -> str:

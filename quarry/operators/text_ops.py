@@ -6,9 +6,10 @@ Two shapes only:
   and type scoring, lexical diversity, complexity) are array expressions on
   the document row: no shuffle, one map stage;
 * ranked term lists (TF-IDF keywords, key phrases, n-gram keywords, headings)
-  explode to (doc, term) rows, aggregate with map-side partial aggregation and
-  keep the top k per document with ``row_number`` (partial group limit before
-  the shuffle, so a huge document does not land whole in one task).
+  are counted inside the document row as well (``row_terms``).  Only where the
+  pages of a document are rows of their own (``tfidf_keywords``, ``headings``)
+  are they exploded, aggregated with map-side partial aggregation and cut to
+  the top k per document (partial group limit before the shuffle).
 
 Ties are broken by first position, as ``Counter.most_common`` and Python's
 stable sort would: carry ``(page_no, pos)`` and order by it.
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicons as L
 from quarry.functions import wording as S
-from quarry.functions.text import (WS, az_words, collapse_ws, keep_only, sentences_split, strip_ws,
-                                   without)
+from quarry.functions.text import (WS, az_words, bound, collapse_ws, keep_only, sentences_split, strip_ws,
+                                   without, word_tokens)
+from quarry.operators import row_terms as R
 from quarry.operators.topk import top_k
 
 
@@ -180,42 +182,20 @@ def document_type(df: DataFrame, text_col: str = "text", match: str = "substring
 # ranked term lists
 # ---------------------------------------------------------------------------
 
-def _idx(arr: Column, i: Column) -> Column:
-    return F.element_at(arr, i)
-
-
-def ngrams_with_pos(words: Column, n: int, kind: int, min_len: int = 4) -> Column:
-    """Array of struct(kind, pos, phrase) for every n-gram whose words are all
-    at least ``min_len`` long."""
-    size = F.size(words)
-    idx = F.sequence(F.lit(1), size - (n - 1))
-    grams = F.transform(idx, lambda i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("pos"),
-        F.concat_ws(" ", *[_idx(words, i + k) for k in range(n)]).alias("phrase"),
-        F.least(*[F.length(_idx(words, i + k)) for k in range(n)] + [F.lit(10 ** 6)]).alias("shortest")))
-    ok = F.filter(grams, lambda g: g["shortest"] >= min_len)
-    return F.when(size >= n, ok).otherwise(F.array().cast(
-        "array<struct<kind:int,pos:int,phrase:string,shortest:int>>"))
-
-
 def keyphrases(df: DataFrame, text_col: str = "text", top_n: int = 10, stopwords=L.ENGINE_STOPWORDS) -> DataFrame:
     """Most frequent 2- and 3-word phrases over stop-word-free ``[a-z]{3,}``
     words, every word longer than 3.  Ties: bigrams first, then first position."""
-    # project the word array once; the n-gram lambdas then index a column
-    w = df.select("doc_id", without(az_words(F.col(text_col), 3), stopwords).alias("w"))
-    words = F.col("w")
-    grams = F.concat(ngrams_with_pos(words, 2, 0), ngrams_with_pos(words, 3, 1))
-    ex = w.select("doc_id", F.explode(grams).alias("g")).select(
-        "doc_id", F.col("g.phrase").alias("phrase"), F.col("g.kind").alias("kind"), F.col("g.pos").alias("pos"))
-    c = ex.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("count"),
-                                          F.min(F.struct("kind", "pos")).alias("first"))
-    t = top_k(c, "doc_id", [F.desc("count"), F.col("first.kind"), F.col("first.pos")], top_n)
-    return t.select("doc_id", "rank", "phrase", "count")
+    return R.as_rows(df, R.phrases(F.col(text_col), top_n, stopwords), "doc_id", {"phrase": "phrase", "count": "count"})
+
+
+def tfidf_of_documents(docs: DataFrame, pages: Column, top_n: int = 20, stopwords=L.ENGINE_STOPWORDS) -> DataFrame:
+    """``tfidf_keywords`` where a document's pages are an array of its row: no exchange."""
+    return R.as_rows(docs, R.tfidf(pages, top_n, stopwords), "doc_id", {"keyword": "keyword", "score": "score"})
 
 
 def tfidf_keywords(pages: DataFrame, top_n: int = 20, stopwords=L.ENGINE_STOPWORDS, min_len: int = 4,
                    page_col: str = "page") -> DataFrame:
-    """Per-document TF-IDF over pages: tf = count / words on the page,
+    """Per-document TF-IDF where every page is a row: tf = count / words on the page,
     idf = ln((N + 1) / (df + 1)) + 1 with N the document's page count; summed
     over pages.  Highest first; ties by first (page, position)."""
     words = without(az_words(F.col(page_col), min_len), stopwords)
@@ -252,40 +232,24 @@ def headings(pages: DataFrame, top_n: int = 20) -> DataFrame:
     return t.select("doc_id", F.col("rank").alias("ord"), "title", F.col("first.page_no").alias("page"))
 
 
+def headings_of_documents(docs: DataFrame, pages: Column, top_n: int = 20) -> DataFrame:
+    """``headings`` where a document's pages are an array of its row: no exchange."""
+    return R.as_rows(docs, R.headings(pages, HEADING, top_n), "doc_id", {"title": "title", "page": "page"}, "ord")
+
+
 def term_counts_top(df: DataFrame, words: Column, top_n: int, group: str = "doc_id",
                     name: str = "term") -> DataFrame:
-    """Most frequent words per group; ties by first position."""
-    ex = df.select(group, F.posexplode(words).alias("pos", name))
-    c = ex.groupBy(group, name).agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first"))
-    t = top_k(c, group, [F.desc("count"), F.asc("first")], top_n)
-    return t.select(group, "rank", name, "count")
+    """Most frequent words of each row; ties by first position."""
+    return R.as_rows(df, R.top_words(words, top_n), group, {name: "term", "count": "count"})
 
 
 def nlp_keywords(df: DataFrame, text_col: str = "text", top_n: int = 20, ngram=(1, 2),
                  stopwords=L.ENGLISH_STOPWORDS) -> DataFrame:
     """The ``top_n`` most frequent 1..2-grams of stop-word-free 2+ letter tokens,
     returned alphabetically (as a fitted vocabulary lists its terms)."""
-    base = df.select("doc_id", without(F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"),
-                                                lambda t: t.rlike(r"^[\p{L}\p{N}_]{2,}$")), stopwords).alias("t"))
-    toks = F.col("t")
-    parts = []
-    for n in range(ngram[0], ngram[1] + 1):
-        if n == 1:
-            parts.append(F.transform(toks, lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"))))
-        else:
-            idx = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-            g = F.transform(idx, lambda i: F.struct(
-                F.concat_ws(" ", *[F.element_at(toks, i + k) for k in range(n)]).alias("term"), i.alias("pos")))
-            parts.append(F.when(F.size(toks) >= n, g).otherwise(
-                F.array().cast("array<struct<term:string,pos:int>>")))
-    allg = parts[0] if len(parts) == 1 else F.concat(*parts)
-    ex = base.select("doc_id", F.explode(allg).alias("g")).select("doc_id", F.col("g.term").alias("term"))
-    c = ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("count"))
     # frequency decides membership; alphabetical order breaks ties at the cut
-    t = top_k(c, "doc_id", [F.desc("count"), F.asc("term")], top_n)
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id").orderBy("term")
-    return t.select("doc_id", "term", "count").withColumn("ord", F.row_number().over(w))
+    toks = without(F.filter(word_tokens(F.lower(F.col(text_col))), lambda t: F.length(t) >= 2), stopwords)
+    return R.as_rows(df, R.common_grams(toks, top_n, ngram), "doc_id", {"term": "term", "count": "count"}, "ord")
 
 
 # ---------------------------------------------------------------------------
@@ -309,29 +273,33 @@ def sentence_complexity_cols(text: Column) -> list:
     return [avg.alias("avg_sentence_words"), label.alias("complexity")]
 
 
-def term_density(text_df: DataFrame, top_terms: DataFrame, text_col: str = "text", top_n: int = 5,
-                 stopwords=L.ENGINE_STOPWORDS) -> DataFrame:
-    """Substring occurrences of each of the first ``top_n`` terms per 1000
-    content words.  ``top_terms`` is (doc_id, rank, keyword)."""
-    base = text_df.select("doc_id", F.lower(F.col(text_col)).alias("low"),
-                          F.greatest(F.size(without(az_words(F.col(text_col), 3), stopwords)), F.lit(1))
-                          .alias("total"))
-    t = top_terms.where(F.col("rank") <= top_n).select("doc_id", "rank", "keyword")
-    j = t.join(base, "doc_id")
-    occ = (F.length("low") - F.length(F.replace("low", "keyword", F.lit("")))) / F.length("keyword")
-    return j.select("doc_id", "rank", "keyword", F.round(occ / (F.col("total") / 1000.0), 2).alias("density"))
+def term_density_of(text: Column, terms: Column, stopwords=L.ENGINE_STOPWORDS) -> Column:
+    """(keyword, density) of each of ``terms``: substring occurrences per 1000 content words."""
+    content = F.struct(F.lower(text).alias("low"), F.greatest(F.size(without(az_words(text, 3), stopwords)), F.lit(1)).alias("total"))
+
+    def one(t, x):
+        occ = (F.length(x["low"]) - F.length(F.replace(x["low"], t, F.lit("")))) / F.length(t)
+        return F.struct(t.alias("keyword"), F.round(occ / (x["total"] / 1000.0), 2).alias("density"))
+    return bound(content, lambda x: F.transform(terms, lambda t: one(t, x)))
+
+
+def term_density(docs: DataFrame, terms: Column, text_col: str = "text", stopwords=L.ENGINE_STOPWORDS) -> DataFrame:
+    """One row per document and term of its array ``terms``, in the array's order."""
+    return R.as_rows(docs, term_density_of(F.col(text_col), terms, stopwords), "doc_id", {"keyword": "keyword", "density": "density"})
 
 
-def topic_coherence(pages: DataFrame, top_terms: DataFrame, top_n: int = 10) -> DataFrame:
+def topic_coherence_of(n_pages: Column, top_terms: Column) -> Column:
     """Share of (top term, page) pairs where the page contains the term as a
-    ``[a-z]{4,}`` word; 1.0 for documents of one page."""
-    t = top_terms.where(F.col("rank") <= top_n).select("doc_id", F.col("keyword").alias("word"))
-    pw = pages.select("doc_id", "page_no", F.explode(F.array_distinct(az_words(F.col("page"), 4))).alias("word"))
-    hits = pw.join(t, ["doc_id", "word"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    n_terms = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    n_pages = pages.groupBy("doc_id").agg(F.max("n_pages").alias("n_pages"))
-    j = n_pages.join(n_terms, "doc_id", "left").join(hits, "doc_id", "left")
-    coh = F.when(F.col("n_pages") <= 1, F.lit(1.0)).when(
-        F.coalesce("n_terms", F.lit(0)) == 0, F.lit(0.0)).otherwise(
-        F.round(F.coalesce("hits", F.lit(0)) / (F.col("n_terms") * F.col("n_pages")), 3))
-    return j.select("doc_id", coh.alias("coherence"))
+    ``[a-z]{4,}`` word; 1.0 for documents of one page.
+
+    ``top_terms`` are structs of ``row_terms.tfidf``: the ``df`` of a term is its number of pages.
+    """
+    hits = F.aggregate(top_terms, F.lit(0).cast("long"), lambda a, t: a + t["df"])
+    return F.when(n_pages <= 1, F.lit(1.0)).when(F.size(top_terms) == 0, F.lit(0.0)).otherwise(
+        F.round(hits / (F.size(top_terms) * n_pages), 3))
+
+
+def topic_coherence(docs: DataFrame, pages: Column, top_n: int = 10) -> DataFrame:
+    """Coherence of every document that has a page (``pages``: array of its row)."""
+    x = docs.select("doc_id", F.size(pages).alias("n_pages"), R.tfidf(pages, top_n).alias("_t")).where(F.col("n_pages") > 0)
+    return x.select("doc_id", topic_coherence_of(F.col("n_pages"), F.col("_t")).alias("coherence"))

@@ -260,6 +260,7 @@ def q_dataset_overview(spark, sf):
 # conversation per document, one turn per page)
 # ---------------------------------------------------------------------------
 
+from quarry.operators import row_terms as RT  # noqa: E402
 from quarry.operators import text_ops as TO  # noqa: E402
 from quarry.operators import text_pages as TP  # noqa: E402
 from quarry.operators import text_structure as TS  # noqa: E402
@@ -301,7 +302,7 @@ def q_text_statistics_raw(spark, sf):
 
 @query("tfidf_keywords")
 def q_tfidf_keywords(spark, sf):
-    return r6(TO.tfidf_keywords(_pages(spark, sf), 20))
+    return r6(TO.tfidf_of_documents(_docs(spark, sf), TP.page_array(F.col("text")), 20))
 
 
 @query("tfidf_conversations")
@@ -325,7 +326,7 @@ def numbered_docs(spark, sf):
 
 @query("headings")
 def q_headings(spark, sf):
-    return TO.headings(TP.scan_text_pages(numbered_docs(spark, sf), keep_newlines=True), 20)
+    return TO.headings_of_documents(numbered_docs(spark, sf), TP.page_array(F.col("text"), keep_newlines=True), 20)
 
 
 @query("domain_detect")
@@ -424,13 +425,13 @@ def q_sentence_complexity(spark, sf):
 
 @query("term_density")
 def q_term_density(spark, sf):
-    p = _prep(spark, sf)
-    return r6(TO.term_density(p, TO.tfidf_keywords(_pages(spark, sf), 5), "cleaned_text", 5))
+    terms = F.transform(RT.tfidf(F.col("pages"), 5), lambda t: t["keyword"])
+    return r6(TO.term_density(_prep(spark, sf), terms, "cleaned_text"))
 
 
 @query("topic_coherence")
 def q_topic_coherence(spark, sf):
-    return r6(TO.topic_coherence(_pages(spark, sf), TO.tfidf_keywords(_pages(spark, sf), 10), 10))
+    return r6(TO.topic_coherence(_docs(spark, sf), TP.page_array(F.col("text")), 10))
 
 
 @query("linguistic_summary")

@@ -17,8 +17,12 @@ PAGE_SCHEMA = "doc_id long, page_no int, n_pages int, page string"
 
 def page_array(text: Column, lines_per_page: int = 8, keep_newlines: bool = False) -> Column:
     """Stripped non-blank lines, every ``lines_per_page`` joined into one page."""
+    return pages_of(stripped_lines(text), lines_per_page, keep_newlines)
+
+
+def pages_of(lines: Column, lines_per_page: int = 8, keep_newlines: bool = False) -> Column:
     sep = "\n" if keep_newlines else " "
-    return F.transform(chunk_array(stripped_lines(text), lines_per_page), lambda ch: F.array_join(ch, sep))
+    return F.transform(chunk_array(lines, lines_per_page), lambda ch: F.array_join(ch, sep))
 
 
 def doc_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

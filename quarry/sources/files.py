@@ -2,9 +2,9 @@
 
 * Routing reads only ``path`` and ``length`` from the ``binaryFile`` source
   (content is not read unless selected) and filters on length there.
-* CSV: Spark's reader with header and type inference; files whose UTF-8 read
-  shows replacement characters are re-read as Latin-1 (a per-file decision
-  from one aggregate over the UTF-8 read).
+* CSV: Spark's reader with header and type inference; files whose bytes are
+  not valid UTF-8 are re-read as Latin-1 (a per-file decision; a file that
+  holds the replacement character itself stays UTF-8).
 * JSON objects are flattened with ``parse_json`` + ``variant_explode``, level
   by level (lateral joins, no shuffle).
 """
@@ -41,7 +41,7 @@ def scan_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with header and inferred types; Latin-1 for files UTF-8 cannot decode."""
     utf8 = spark.read.option("header", True).option("inferSchema", infer).option("encoding", "UTF-8").csv(path)
     probe = (spark.read.text(path).select(F.input_file_name().alias("f"), "value")
-             .where(F.col("value").contains("�")).select("f").distinct())
+             .where(~F.is_valid_utf8("value")).select("f").distinct())  # lines hold the bytes of the file
     bad = [r["f"] for r in probe.collect()]  # file names only (bounded by the file count)
     if not bad:
         return utf8

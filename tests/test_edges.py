@@ -214,3 +214,16 @@ def test_two_decimals_round_the_exact_value(spark):
     assert got == [(x, f"{x:.2f}") for x in values]
     empty = spark.createDataFrame([(None,), (1e15,)], "x double").select(T.two_decimals(F.col("x"))).collect()
     assert [r[0] for r in empty] == [None, "1000000000000000.00"]
+
+
+def test_csv_encoding_is_decided_by_the_bytes(spark, tmp_path):
+    for name, raw in {"latin": "name,n\ncafé,1\n".encode("latin-1"), "utf8": "name,n\ncafé �,2\n".encode()}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_bytes(raw)
+    assert [r.name for r in FS.scan_csv(spark, str(tmp_path / "latin")).collect()] == ["café"]
+    assert [r.name for r in FS.scan_csv(spark, str(tmp_path / "utf8")).collect()] == ["café �"]
+    both = tmp_path / "both"
+    both.mkdir()
+    for name in ("latin", "utf8"):
+        (both / f"{name}.csv").write_bytes((tmp_path / name / "a.csv").read_bytes())
+    assert sorted(r.name for r in FS.scan_csv(spark, str(both)).collect()) == ["café", "café �"]

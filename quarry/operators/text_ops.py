@@ -163,16 +163,16 @@ def keyword_class(text: Column, classes, default: str, match: str = "substring")
     ``match='substring'`` counts a keyword found anywhere (so 'act' hits
     'factor'); ``match='word'`` requires whole words.
     """
-    low = F.lower(text)
-    scored = []
-    for i, (name, kws) in enumerate(classes):
+    def hits(low, kws):
         if match == "word":
-            hits = [low.rlike(r"(?<![\p{L}\p{N}_])" + kw + r"(?![\p{L}\p{N}_])").cast("int") for kw in kws]
-        else:
-            hits = [low.contains(kw).cast("int") for kw in kws]
-        s = sum(hits[1:], hits[0])
-        scored.append(F.struct(s.alias("score"), F.lit(-i).alias("neg_ord"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scored))
+            found = [low.rlike(r"(?<![\p{L}\p{N}_])" + kw + r"(?![\p{L}\p{N}_])").cast("int") for kw in kws]
+            return sum(found[1:], found[0])
+        # one small expression for each class: hundreds of generated searches would not be compiled
+        return F.size(F.filter(F.array(*[F.lit(kw) for kw in kws]), lambda kw: F.contains(low, kw)))
+
+    best = bound(F.lower(text), lambda low: F.array_max(F.array(*[
+        F.struct(hits(low, kws).alias("score"), F.lit(-i).alias("neg_ord"), F.lit(name).alias("name"))
+        for i, (name, kws) in enumerate(classes)])))
     return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(default))
 
 

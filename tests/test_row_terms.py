@@ -124,3 +124,20 @@ def test_long_text_is_linear(spark):
         F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("word"), F.translate((i % 997).cast("string"), "0123456789", "abcdefghij"))), " ").alias("text"))
     top = TO.keyphrases(one, "text", 3).collect()
     assert len(top) == 3 and top[0]["count"] == n // 997 + 1
+
+
+def test_frequent_terms_are_counted_without_a_lambda_over_all_of_them(spark, docs):
+    for df in (TO.keyphrases(docs), TS.page_keywords(docs.select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("clean_text")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert R.REPEATED in plan and "pos, lambda" not in plan
+
+
+def test_most_frequent_on_ties_and_few_terms(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(["ab", "abc", "a b", "b", "ba", "c", "é", "ab c"]) for _ in range(rng.randrange(0, 30))], ) for i in range(200)]
+    rows += [(900, []), (901, ["x"] * 30_000), (902, [f"w{i % 9000}" for i in range(9001)])]
+    df = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    got = {r.doc_id: [(t.term, t["count"]) for t in r.a] for r in df.select("doc_id", R.top_words(F.col("w"), 4).alias("a")).collect()}
+    assert got == {i: Counter(w).most_common(4) for i, w in rows}
+    got = {r.doc_id: [(t.term, t["count"]) for t in r.a] for r in df.select("doc_id", R.common_grams(F.col("w"), 4, (1, 1)).alias("a")).collect()}
+    assert got == {i: sorted(sorted(Counter(w).items(), key=lambda x: (-x[1], x[0]))[:4]) for i, w in rows}

@@ -65,3 +65,24 @@ def test_keywords_with_a_space_and_null_texts(spark):
 def test_page_without_a_sentence(spark):
     clean = spark.createDataFrame([(1, 1, "short"), (1, 2, "words words words again and again.")], "doc_id long, page_no int, clean_text string")
     assert [(r.page_no, r.sentence) for r in TS.key_sentences(clean).collect()] == [(2, "words words words again and again.")]
+
+
+def test_plain_line_breaks_need_no_regular_expression(spark):
+    texts = ["a\n\n b \nc", "", "\n", "a", None] + [f"x {c}{c} y\n{c}z" for c in "\r" + T.OTHER_BREAKS]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.stripped_lines(F.col("t"))).collect():
+        assert r[1] == (None if r.t is None else [x.strip() for x in r.t.splitlines() if x.strip()])
+    assert "split(t#" in plan(df.select(T.stripped_lines(F.col("t")))) and plan(df.select(T.stripped_lines(F.col("t")))).count("split(t#") == 2
+
+
+def test_each_different_word_is_searched_once(spark):
+    classes = [("x", ["act", "no way", "zz"]), ("y", ["or", "way", "a"])]
+    rows = [(1, "FACTORY factory no  way"), (2, "no way act"), (3, "act\nno way zz"), (4, ""), (5, None), (6, "or\tway")]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    cls = TO.keyword_class(F.col("t"), classes, "none")
+    want = {}
+    for i, t in rows:
+        n = [sum(k in (t or "").lower() for k in ks) for _, ks in classes]
+        want[i] = classes[n.index(max(n))][0] if max(n) else "none"
+    assert {r.doc_id: r.c for r in df.select("doc_id", cls.alias("c")).collect()} == want
+    assert "array_distinct" in plan(df.select(cls))

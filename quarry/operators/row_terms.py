@@ -164,33 +164,59 @@ def headings(pages: Column, pattern: str, k: int) -> Column:
         f["page"].alias("page"), f["line"].alias("line"), f["title"].alias("title"))), k))
 
 
+#: Runs of lines "word, mark, number" with one word, and of lines "ten digits, mark, number" with one number of ten digits.
+OF_WORD = "(?md)^([^\x01\n]++)\x01\\d++$(?:\n\\1\x01\\d++$)*+"
+OF_SENTENCE = "(?md)^(\\d{10})\x01\\d++$(?:\n\\1\x01\\d++$)*+"
+
+
+def tagged(words: Column, tag: Column) -> Column:
+    """Lines "word, mark, tag" of all words, as one text (empty without words)."""
+    mark = F.concat(F.lit("\x01"), tag)
+    return F.when(F.size(words) > 0, F.concat(F.call_function("array_join", words, F.concat(mark, F.lit("\n"))), mark)).otherwise("")
+
+
+def runs_of_lines(parts: Column, pattern: str) -> Column:
+    """Runs that ``pattern`` finds in the sorted lines of all texts of the array ``parts``; empty texts don't count."""
+    lines = F.split(F.array_join(F.array_remove(parts, ""), "\n"), "\n")
+    return F.regexp_extract_all(F.array_join(F.sort_array(lines), "\n"), F.lit(pattern), F.lit(0))
+
+
 def scored_sentences(sentences: Column, words_of, page_words: Column, k: int, stopwords=()) -> Column:
     """The ``k`` sentences whose words are most frequent on the page, on average: (order, sentence, score).
 
-    ``words_of`` gives a sentence's words; stop words don't count.  Words of the page and of its sentences are sorted together; the page's own (place -1)
-    open each run and count it, and the counts return to the sentences by a second sort.  Ties: larger sentence text first.
+    ``words_of`` gives a sentence's words; stop words don't count.  Words of the page (tag 0) and of its sentences (their ten-digit number)
+    are sorted together as lines; the page's own open each run and count it, and the counts return to the sentences by a second sort.
+    Ties: larger sentence text first.  Words hold no line breaks or marks (U+0001).
     """
     kept = (lambda w: without(w, stopwords)) if stopwords else (lambda w: w)
 
     def of(sents):
-        own = F.transform(kept(page_words), lambda w: F.struct(w.alias("term"), F.lit(-1).alias("s")))
-        theirs = F.flatten(F.transform(sents, lambda x, i: F.transform(kept(words_of(x)), lambda w: F.struct(w.alias("term"), i.alias("s")))))
-
-        def counted(s):
-            def of_run(f, at, n):
-                part = F.slice(s, at + 1, n)
-                return bound(part, lambda p: bound(F.size(F.filter(p, lambda x: x["s"] < 0)), lambda c: F.transform(
-                    F.filter(p, lambda x: x["s"] >= 0), lambda x: F.struct(x["s"].alias("s"), c.alias("f")))))
-            return F.flatten(runs(s, ["term"], of_run))
-
-        def ranked(c):
-            means = runs(c, ["s"], lambda f, at, n: F.struct(f["s"].alias("s"), (F.aggregate(
-                F.slice(c, at + 1, n), F.lit(0).cast("long"), lambda a, x: a + x["f"]) / n).alias("score")))
+        own = bound(kept(page_words), lambda w: tagged(w, F.lit("0")))
+        theirs = F.transform(sents, lambda x, i: bound(kept(words_of(x)), lambda w: tagged(w, (i + 1_000_000_000).cast("string"))))
+
+        def counts(run):
+            """Lines "sentence, mark, count of the word on the page"."""
+            def spread(tags):
+                def lines(at):
+                    count = F.concat(F.lit("\x01"), F.floor((at - 1) / 2).cast("string"))
+                    return F.when(at > 0, F.concat(F.replace(F.substring(tags, at, F.length(tags)), F.lit("\n"), F.concat(count, F.lit("\n"))), count)).otherwise("")
+                return bound(F.instr(tags, "1"), lines)
+            return bound(F.replace(run, F.concat(F.substring_index(run, "\x01", 1), F.lit("\x01")), F.lit("")), spread)
+
+        def mean(run):
+            number = F.substring(run, 1, 10)
+            return bound(F.split(F.replace(run, F.concat(number, F.lit("\x01")), F.lit("")), "\n"), lambda f: F.struct(
+                (number.cast("int") - 1_000_000_000).alias("s"),
+                (F.aggregate(f, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")) / F.size(f)).alias("score")))
+
+        def ranked(means):
             # a sentence without words scores 0
-            zeros = F.transform(F.array_except(F.sequence(F.lit(0), F.size(sents) - 1), F.transform(c, lambda x: x["s"])),
+            zeros = F.transform(F.array_except(F.sequence(F.lit(0), F.size(sents) - 1), F.transform(means, lambda x: x["s"])),
                                 lambda i: F.struct(i.alias("s"), F.lit(0.0).alias("score")))
             every = F.transform(F.concat(means, zeros), lambda x: F.struct(
                 F.round(x["score"], 9).alias("order"), F.get(sents, x["s"]).alias("sentence"), x["score"].alias("score")))
             return F.slice(F.sort_array(every, asc=False), 1, k)
-        return F.when(F.size(sents) > 0, bound(F.sort_array(F.concat(own, theirs)), lambda s: bound(F.sort_array(counted(s)), ranked)))
+        words = runs_of_lines(F.concat(F.array(own), theirs), OF_WORD)
+        means = F.transform(runs_of_lines(F.transform(words, counts), OF_SENTENCE), mean)
+        return F.when(F.size(sents) > 0, bound(means, ranked))
     return bound(sentences, of)

@@ -141,3 +141,17 @@ def test_most_frequent_on_ties_and_few_terms(spark):
     assert got == {i: Counter(w).most_common(4) for i, w in rows}
     got = {r.doc_id: [(t.term, t["count"]) for t in r.a] for r in df.select("doc_id", R.common_grams(F.col("w"), 4, (1, 1)).alias("a")).collect()}
     assert got == {i: sorted(sorted(Counter(w).items(), key=lambda x: (-x[1], x[0]))[:4]) for i, w in rows}
+
+
+def test_sentence_words_are_counted_as_lines(spark):
+    """Words that begin or end like others, words of no page, many equal ones; the plan sorts no structs of words."""
+    rows = [(1, ["ab abc", "zab ab ab", "q"], "ab ab abc zab"), (2, ["", "x y"], ""), (3, [], "ab"), (4, ["a " * 30_000], "a " * 20_000),
+            (5, [f"w{'x' * i}" for i in range(12)], " ".join("w" + "x" * (i // 2) for i in range(24)))]
+    df = spark.createDataFrame(rows, "doc_id long, s array<string>, p string")
+    words_of = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    arr = R.scored_sentences(F.col("s"), words_of, words_of(F.col("p")), 12)
+    for r in df.select("doc_id", "s", "p", arr.alias("a")).collect():
+        f = Counter(r.p.split())
+        want = sorted([(round(sum(f[w] for w in x.split()) / max(len(x.split()), 1), 9), x) for x in r.s], reverse=True)
+        assert [(round(t.score, 9), t.sentence) for t in r.a or []] == want
+    assert "struct(term, lambda" not in df.select(arr)._jdf.queryExecution().optimizedPlan().toString()

@@ -131,25 +131,55 @@ def tfidf(pages: Column, k: int, stopwords=L.ENGINE_STOPWORDS, min_len: int = 4)
     """The ``k`` best terms of an array of pages by TF-IDF: (order, page, pos, keyword, score, df).
 
     tf = count / words on the page, summed over pages; idf = ln((N + 1) / (df + 1)) + 1 with N pages.
+    All words are sorted as lines "word, mark, page", where one regular expression finds the terms that repeat; only these meet a lambda.
+    Terms found once score alike on a page, so its first ``k`` stand for all of them.  Only the terms kept are placed.
     """
     def scored(w):
-        placed = F.flatten(F.transform(w, lambda p, i: F.transform(
-            p, lambda t, j: F.struct(t.alias("term"), i.alias("page"), j.alias("pos")))))
-
-        def on_pages(s):
-            return runs(s, ["term", "page"], lambda f, at, n: F.struct(
-                f["term"].alias("term"), f["page"].alias("page"), f["pos"].alias("pos"),
-                (n / F.size(F.get(w, f["page"]))).alias("tf")))
-
-        def of_term(r):
-            def one(f, at, n):
-                tf = F.aggregate(F.slice(r, at + 1, n), F.lit(0.0), lambda a, x: a + x["tf"])
-                score = tf * (F.log((F.size(w) + 1) / (n + 1)) + 1)
-                return bound(score, lambda v: F.struct(
-                    (-F.round(v, 9)).alias("order"), f["page"].alias("page"), f["pos"].alias("pos"),
-                    f["term"].alias("keyword"), v.alias("score"), n.alias("df")))
-            return runs(r, ["term"], one)
-        return bound(F.sort_array(placed), lambda s: bound(on_pages(s), lambda r: best(of_term(r), k)))
+        def of_term(run):
+            def one(term, tags):
+                pages_of_term = F.array_distinct(F.split(tags, "\n"))
+
+                def found(tagged_pages):
+                    def part(tag):
+                        n = (F.length(tags) - F.length(F.replace(tags, tag, F.lit("")))) / F.length(tag)
+                        return n / F.size(F.get(w, tag.cast("int") - 1_000_000_000))
+                    tf = F.aggregate(tagged_pages, F.lit(0.0), lambda a, tag: a + part(tag))
+                    score = tf * (F.log((F.size(w) + 1) / (F.size(tagged_pages) + 1)) + 1)
+                    return bound(score, lambda v: F.struct(
+                        (-F.round(v, 9)).alias("order"), (F.get(tagged_pages, 0).cast("int") - 1_000_000_000).alias("page"),
+                        term.alias("keyword"), v.alias("score"), F.size(tagged_pages).alias("df")))
+                return bound(pages_of_term, found)
+            return bound(F.substring_index(run, "\x01", 1), lambda t: bound(
+                F.replace(run, F.concat(t, F.lit("\x01")), F.lit("")), lambda tags: one(t, tags)))
+
+        def placed(every):
+            def cut(least):
+                more = F.filter(every, lambda x: x["order"] < least)
+                even = F.filter(every, lambda x: x["order"] == least)
+
+                def first(x):
+                    # of equal scores those that come first
+                    names = F.transform(x["even"], lambda t: t["keyword"])
+                    some = F.slice(F.array_intersect(F.flatten(w), names), 1, F.lit(k) - F.size(x["more"]))
+                    return F.concat(x["more"], bound(some, lambda s: F.filter(x["even"], lambda t: F.array_contains(s, t["keyword"]))))
+                return bound(F.struct(more.alias("more"), even.alias("even")), lambda x: F.transform(first(x), lambda t: F.struct(
+                    t["order"].alias("order"), t["page"].alias("page"),
+                    (F.array_position(F.get(w, t["page"]), t["keyword"]) - 1).cast("int").alias("pos"),
+                    t["keyword"].alias("keyword"), t["score"].alias("score"), t["df"].alias("df"))))
+            orders = F.sort_array(F.transform(every, lambda x: x["order"]))
+            return bound(F.coalesce(F.get(orders, k - 1), F.get(F.sort_array(orders, asc=False), 0)), cut)
+        lines = F.transform(w, lambda p, i: bound((i + 1_000_000_000).cast("string"), lambda tag: tagged(p, tag)))
+
+        def all_terms(found):
+            names = F.transform(found, lambda t: t["keyword"])
+
+            def singles(p, i):
+                score = F.lit(1) / F.size(p) * (F.log((F.size(w) + 1) / F.lit(2)) + 1)
+                return F.transform(F.slice(F.array_except(p, names), 1, k), lambda t: bound(score, lambda v: F.struct(
+                    (-F.round(v, 9)).alias("order"), i.alias("page"), t.alias("keyword"), v.alias("score"), F.lit(1).alias("df"))))
+            return F.concat(found, F.flatten(F.transform(w, singles)))
+        found = F.transform(runs_of_lines(lines, REPEATED_WORD), of_term)
+        return bound(bound(found, all_terms), lambda every: F.sort_array(placed(every)))
     return bound(F.transform(pages, lambda p: without(az_words(p, min_len), stopwords)), scored)
 
 
@@ -165,6 +195,7 @@ def headings(pages: Column, pattern: str, k: int) -> Column:
 
 
 #: Runs of lines "word, mark, number" with one word, and of lines "ten digits, mark, number" with one number of ten digits.
+REPEATED_WORD = "(?md)^([^\x01\n]++)\x01\\d++$(?:\n\\1\x01\\d++$)++"  # two lines at least
 OF_WORD = "(?md)^([^\x01\n]++)\x01\\d++$(?:\n\\1\x01\\d++$)*+"
 OF_SENTENCE = "(?md)^(\\d{10})\x01\\d++$(?:\n\\1\x01\\d++$)*+"
 

@@ -6,16 +6,15 @@
 2. Documents with equal sets form one class (a grouped minimum), so copies cost
    one row from here on.
 3. Classes that share a bucket are candidates.  Each first meets only the
-   bucket's most central member, its hub, and of its hubs the one whose signature
-   agrees best; a group of n near copies costs n verifications, not n * n / 2.
+   bucket's most central member, its hub, and of its hubs the one with which it
+   shares most buckets; a group of n near copies costs n verifications, not n * n / 2.
 4. Candidates whose signatures agree enough are confirmed on their full sets.
    Confirmed links give components (large-star, small-star).
-5. What the hubs did not connect is settled exactly, in buckets that still hold
-   several components.  Members are described by their edits against the hub
-   (``edit_keys``): a member that is not linked to the hub can only be linked to
-   one that shares enough of its edits, so candidates are found by joining on
-   rare edits, across components only, instead of pairing the bucket; they are
-   confirmed on full sets too.
+5. What the hubs did not connect is settled exactly, for the members of buckets
+   that still hold several components.  Sets that are linked share one of their
+   rarest shingles (``rare_keys``), where shingles of a single component don't
+   count.  Under each key sets first meet one of them, then, across the components
+   that are left, all that share a key; they are confirmed on full sets too.
 
 A pair at the threshold shares no bucket with probability
 ``(1 - threshold ** rows) ** bands``; the number of bands is chosen so that this
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, slices, text_bytes
+from .common import checkpointed, map_arrow, slices, stored, text_bytes
 from .components import components
 
 SHINGLE = 3
@@ -48,6 +47,7 @@ THRESHOLD = 85  # of 100
 ROWS = 6
 MISS = 4e-8  # chance that a pair exactly at the threshold shares no bucket
 BROADCAST_IDS = 2_000_000
+CLASS = 1.1  # sizes of one class differ by this factor at most
 _SEED = 20240601
 _CUT = 1 << 15  # shingles hashed at a time
 
@@ -207,30 +207,64 @@ def edit_keys(x: np.ndarray, hub: np.ndarray, threshold: int, linked: bool) -> l
     return out
 
 
-def _hub_groups(docs: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """For pairs (a, hub b, part of a): rows (hub, node, part, linked, shingle, own, partner) as ``edit_keys`` has them."""
+def _open_sets(docs: DataFrame, parts: DataFrame, width: int) -> DataFrame:
+    """(node, part, size, shingles) and a row number _r for the different texts of ``parts`` (node, part), a checkpoint."""
 
     def run(batches):
-        names, kinds = ["hub", "node", "part", "linked", "shingle", "own", "partner"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-        rows: list[tuple] = []
-
-        def out():
-            part = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-            rows.clear()
-            return part
-
-        for b in slices(batches, column="x"):
-            for (i, j, x, hub), part in zip(_sets(b, width), b.column("part").to_pylist()):
-                linked = _linked(x, hub, threshold)
-                rows += [(j, i, part, linked, *key) for key in edit_keys(x, hub, threshold, linked)]
-                if linked:
-                    rows.append((j, i, part, True, None, None, None))
-                if len(rows) >= 1 << 15:
-                    yield out()
-        if rows:
-            yield out()
-
-    return map_arrow(_with_texts(docs, pairs), run, "hub long, node long, part long, linked boolean, shingle long, own int, partner int")
+        for b in slices(batches):
+            sets = [shingles(t, width) for t in text_bytes(b.column("text"))]
+            ends = np.cumsum([0] + [len(s) for s in sets])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                b.column("node"), b.column("part"), pa.array(np.diff(ends)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "part", "size", "digest", "shingles"])
+
+    n = parts.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(parts) if n <= BROADCAST_IDS else parts, "node")
+    numbered = lambda x: stored(x.withColumn("_r", F.monotonically_increasing_id()))
+    sets = numbered(map_arrow(texts, run, "node long, part long, size long, digest binary, shingles array<long>").filter("size > 0"))
+    return sets if sets.count() <= n else numbered(sets.dropDuplicates(["node", "digest"]))  # rows that repeat an id
+
+
+def rare_keys(sets: DataFrame, threshold: int) -> DataFrame:
+    """node, part, size, shingle, its place (from 0), own size class and partner's size class: sets of different parts that
+    are linked share a key, with the classes exchanged.
+
+    Shingles are ordered by rarity: first those of a single part, which no pair needs, then by the number of sets.  Sets of
+    n and m shingles are linked if they share at least ``threshold * (n + m) / (100 + threshold)``.  The first one they share
+    has at least as many behind it in both, itself included, so it lies early in both.
+    """
+    rows = sets.select("_r", "part", F.explode("shingles").alias("shingle"))
+    shared = (rows.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
+              .filter("lo < hi").select("shingle", "n"))
+    order = rows.join(shared, "shingle").groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    x = order.join(sets.select("_r", "node", "part", "size"), "_r")
+    size_class = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
+    least = f"size * {threshold} / 100"  # shingles of a partner
+    x = x.withColumns({"own": size_class(F.col("size")), "partner": F.explode(F.sequence(
+        size_class(F.expr(least)) - 1, size_class(F.expr(f"size * 100 / {threshold}")) + 1))})
+    x = x.filter(f"pow({CLASS}, partner + 1) * 1.000001 >= {least}")
+    low = f"greatest(floor(pow({CLASS}, partner) * 0.999999), ceil({least}))"
+    both = f"ceil({threshold} * (size + {low}) / {100 + threshold} - 0.000001)"  # what is shared with a partner, at least
+    x = x.withColumn("most", F.expr(f"cast(size(common) - {both} + 1 as int)")).filter("most > 0")
+    return x.select("node", "part", "size", "own", "partner", (F.col("size") - F.size("common")).alias("alone"),
+                    F.posexplode(F.slice("common", 1, F.col("most"))).alias("at", "x")).select(
+        "node", "part", "size", "own", "partner", (F.col("alone") + F.col("at")).alias("place"), "x.shingle")
+
+
+def _by_most(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), with repeats, each a's most frequent one."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+
+
+def _joined(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b)."""
+    part = lambda i: first.select(F.col("node").alias(i), F.col("component").alias(f"p{i}"))
+    merged = checkpointed(components(links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
+        F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))))
+    whole = first.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component"))
+    return checkpointed(whole.unionByName(merged.join(first, "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
@@ -254,33 +288,33 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROW
     members = checkpointed(members.select("key", "node").join(hubs, "key"))
     signed = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "signature"))
 
-    stars = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = checkpointed(_similar_signatures(stars, signed, least))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    links = checkpointed(_confirmed(docs, best, threshold, width))
-    first = checkpointed(components(links))
+    checked = lambda pairs: checkpointed(_confirmed(docs, checkpointed(_similar_signatures(pairs, signed, least)), threshold, width))
+    # of its hubs a node meets the one with which it shares most buckets
+    links = checked(_by_most(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    component = checkpointed(components(links))
 
-    # pairs of a bucket that are still apart
-    here = members.join(first, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
+    # buckets whose members are still apart
+    part = lambda x: x.join(component, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    here = part(members.select("key", "node"))
     split = here.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    open_ = here.join(split, "key", "left_semi").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "part").distinct()
-    groups = checkpointed(_hub_groups(docs, open_, threshold, width))
-    direct = groups.filter("shingle IS NULL").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    keyed = groups.filter("shingle IS NOT NULL")
-    lone = keyed.filter("NOT linked").select("hub", "shingle", "own", "partner", F.col("node").alias("a"), F.col("part").alias("pa"))
-    any_ = keyed.select("hub", "shingle", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("node").alias("b"), F.col("part").alias("pb"))
+    open_ = checkpointed(here.join(split, "key", "left_semi").select("node", "part").distinct())
+    keyed = checkpointed(rare_keys(_open_sets(docs, open_, width), threshold))
+    # sets under one key meet one of them first, so that what is linked there is not paired
+    alike = keyed.filter("own = partner").select("shingle", "own", "node", "part")
+    one = alike.groupBy("shingle", "own").agg(F.min(F.struct("part", "node")).alias("one"))
+    links = checked(_by_most(alike.join(one, ["shingle", "own"]).filter("part <> one.part").select(F.col("node").alias("a"), F.col("one.node").alias("b"))))
+    if not links.isEmpty():
+        component = _joined(component, links)
+        keyed = checkpointed(part(keyed.drop("part")))
     # what is connected already needs no pair
-    apart = lone.join(any_, ["hub", "shingle", "own", "partner"]).filter("pa <> pb").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    apart = _similar_signatures(apart, signed, least)
-    more = direct.unionByName(_confirmed(docs, checkpointed(apart), threshold, width))
-    part = lambda i: first.select(F.col("node").alias(i), F.col("component").alias(f"p{i}"))
-    merged = checkpointed(components(more.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
-        F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))))
-    whole = first.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
-        "node", F.coalesce("to", "component").alias("component"))
-    rest = merged.join(first, "node", "left_anti")
-    component = whole.unionByName(rest)
+    side = lambda x, own, partner: keyed.select(
+        "shingle", F.col(own).alias("own"), F.col(partner).alias("partner"), *[F.col(c).alias(c + x) for c in ("node", "part", "size", "place")])
+    behind = f"least(sizea - placea, sizeb - placeb) * {100 + threshold} >= (sizea + sizeb) * {threshold}"
+    apart = side("a", "own", "partner").join(side("b", "partner", "own"), ["shingle", "own", "partner"]).filter(f"parta < partb AND {behind}").select(
+        F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    links = checked(apart)
+    if not links.isEmpty():
+        component = _joined(component, links)
 
     named = (classes.join(component, "node", "left").filter("n > 1 OR component IS NOT NULL")
              .select("digest", F.coalesce("component", "node").alias("component")))

@@ -139,3 +139,39 @@ def test_families_around_a_foreign_hub_are_not_paired(spark, monkeypatch):
     assert got == _brute(rows, 85, 3)
     assert len({c for *_, c, _ in got}) == 2
     assert pairs[0] <= len(rows) and sum(pairs[1:]) <= 2 * len(rows)
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share much with each other, too little for a link, and more than with their hub are not joined pair by pair."""
+    r = random.Random(6)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    first, second = words(200), words(40)
+    rows = [(i, " ".join(first + (second if i >= 120 else []) + words(40))) for i in range(180)]
+    pairs, compare = [], mh._similar_signatures
+
+    def counted(candidates, *more):
+        pairs.append(candidates.count())
+        return compare(candidates, *more)
+
+    monkeypatch.setattr(mh, "_similar_signatures", counted)
+    got = sorted(tuple(x) for x in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == _brute(rows, 85, 3)
+    assert pairs[0] <= len(rows) and sum(pairs[1:]) <= len(rows)
+
+
+def test_rare_keys_meet_every_link(spark):
+    """Sets of different parts that are linked share a key, with the size classes exchanged."""
+    import numpy as np
+    r = random.Random(5)
+    base, rows = range(120), []
+    for i in range(120):
+        keep = [x for x in base if r.random() > r.random() * 0.3]
+        s = sorted({*keep, *r.sample(range(120, 170), r.randint(0, 20))})[:r.choice([1, 2, 5, 200, 200, 200, 200, 200])]
+        rows.append((i, i, i // 2, len(s), s))
+    keys = mh.rare_keys(spark.createDataFrame(rows, "_r long, node long, part long, size long, shingles array<long>"), 80).collect()
+    at = {}
+    for k in keys:
+        at.setdefault((k.shingle, k.own, k.partner), set()).add(k.node)
+    met = {(a, b) for (t, o, p), nodes in at.items() for a in nodes for b in at.get((t, p, o), ())}
+    links = {(a, b) for a, _, pa, _, x in rows for b, _, pb, _, y in rows if pa != pb and mh._linked(np.array(x), np.array(y), 80)}
+    assert len(links) > 200 and links <= met

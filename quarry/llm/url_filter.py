@@ -12,7 +12,9 @@ Scores are fixed-point integers (``SCALE`` = 1.0), so sums do not depend on the
 order of tasks and a recomputed partition gives the same digits.  Everything is
 DataFrame work.  Host edges are deduplicated by a grouped aggregate before any
 join; the joins on hosts are plain sort-merge joins, which AQE splits for a hot
-host.  Lineage is cut by checkpoints in the shared folder.
+host.  Lineage is cut by checkpoints in the shared folder.  Tables of hosts and
+edges have partitions in proportion to their rows (``ROWS``), whatever the pages
+are dealt over, so that few hosts make few files and few tasks that read them.
 
 A null url, or one without ``://``, has an empty host and path.  Null html has
 no links; relative links stay on the host and carry nothing; links to hosts
@@ -21,6 +23,8 @@ without pages are left out.  Repeated pages give repeated rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,7 @@ MIN_DISTRUST = SCALE // 20
 DAMPING = 85  # of 100
 ROUNDS = 8
 BROADCAST_HOSTS = 300_000
+ROWS = 50_000  # hosts or edges to a partition
 #: The host part of links that name one.
 LINK_HOST = r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,6 +77,16 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return e.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
 
 
+def _parts(x: DataFrame) -> int:
+    return max(1, math.ceil(x.count() / ROWS))
+
+
+def _dealt(x: DataFrame) -> DataFrame:
+    """A checkpoint with partitions in proportion to its rows."""
+    x = checkpointed(x)
+    return x.coalesce(_parts(x))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``score`` of each host after ``rounds`` of
     ``score = ((100 - DAMPING) * seed + DAMPING * sum(score of src / out-degree of src)) / 100``.
@@ -79,29 +94,30 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     seeds: (host, seed); edges: (src, dst), distinct.
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    edges = checkpointed(edges.join(degree, "src"))
+    edges = _dealt(edges.join(degree, "src"))
     scores = seeds.select("host", F.expr(f"seed * {100 - DAMPING} div 100").alias("score"))
     if edges.isEmpty():
         return scores
+    parts = _parts(seeds)
     for _ in range(rounds):
         sent = (edges.join(scores.filter("score > 0"), F.col("src") == F.col("host"))
                 .select(F.col("dst").alias("host"), F.expr("score div degree").alias("part")))
         got = sent.groupBy("host").agg(F.sum("part").alias("got"))
         scores = checkpointed(seeds.join(got, "host", "left").select(
-            "host", F.expr(f"(seed * {100 - DAMPING} + coalesce(got, 0) * {DAMPING}) div 100").alias("score")))
+            "host", F.expr(f"(seed * {100 - DAMPING} + coalesce(got, 0) * {DAMPING}) div 100").alias("score")).coalesce(parts)).coalesce(parts)
     return scores
 
 
 def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     """host, trust, distrust."""
-    hosts = checkpointed(judged(pages, rules).groupBy("host").agg(
+    hosts = _dealt(judged(pages, rules).groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("n_allow"),
         F.count_if(F.col("rule_verdict") == "block").alias("n_block")))
-    edges = checkpointed(host_edges(pages, hosts))
+    edges = _dealt(host_edges(pages, hosts))
     seed = lambda c: hosts.select("host", F.expr(f"{c} * {SCALE} div n").alias("seed"))
     trust = propagate(seed("n_allow"), edges, rounds).withColumnRenamed("score", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return trust.join(propagate(seed("n_block"), back, rounds).withColumnRenamed("score", "distrust"), "host")
+    return trust.join(propagate(seed("n_block"), back, rounds).withColumnRenamed("score", "distrust"), "host").coalesce(_parts(hosts))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, min_distrust: int = MIN_DISTRUST) -> DataFrame:

@@ -37,6 +37,12 @@ class TableProfile:
             .withColumn("basic_role", basic_role_expr())
         return cls(sorted(st.collect(), key=lambda r: r["ord"]))
 
+    def stats(self, spark) -> DataFrame:
+        """What ``table_summary`` reads of ``column_stats``, from the collected rows."""
+        names = ["column", "ord", "kind", "n", "nulls", "n_distinct"]
+        return spark.createDataFrame([tuple(r[c] for c in names) for r in self.rows],
+                                     "column string, ord int, kind string, n bigint, nulls bigint, n_distinct bigint")
+
     @property
     def n(self) -> int:
         return self.rows[0]["n"] if self.rows else 0

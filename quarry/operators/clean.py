@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import WS
+from quarry.session import as_table
 
 # What pandas.to_numeric accepts (after trimming): decimals, exponents, inf.
 # Spark's own cast also takes '1d' or '1f'; the pattern keeps those out.
@@ -86,14 +87,18 @@ class Cleaned:
 
 
 def clean_table(df: DataFrame, threshold: float = 0.5, dedup: bool = True,
-                impute: bool = True) -> Cleaned:
+                impute: bool = True, keep: bool = False) -> Cleaned:
     """Dedup, coerce mostly-numeric text columns, fill nulls.
 
     A string column becomes numeric when at least ``threshold`` of *all* rows
     (nulls count against) parse as numbers; values that do not parse become
     null and are then filled with the column mean like any numeric null.
+    ``keep`` writes the deduplicated rows once, for callers that read the
+    result several times: else each reading deduplicates the table again.
     """
     d = dedup_rows(df) if dedup else df
+    if keep:
+        d = as_table(d)
     fields = d.schema.fields
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(fields):

@@ -41,6 +41,28 @@ def quantiles_of_counts(counts: DataFrame, keys: list, value: str, n: str, probs
     return j.groupBy(*keys).agg(*aggs).select(*keys, F.array(*outs).alias("q"))
 
 
+def value_at(df: DataFrame, value: str, rank: int, parts: int = 4096, few: int = 10_000) -> float:
+    """The value of ``rank`` (0 is the smallest) of a written column of finite doubles, in bounded memory and without a sort.
+
+    Values are counted in ``parts`` equal parts of their range, the part that holds the rank is the
+    next range, and so on until it has few rows or a single value; each step reads the column once.
+    """
+    v = F.col(value)
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    while lo < hi:
+        width = hi - lo
+        part = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(parts))), F.lit(parts - 1))
+        inside = df.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
+        for r in sorted(inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        lo, hi = r["lo"], r["hi"]  # narrower each time, as the ends lie in different parts
+        if r["n"] <= few:
+            return sorted(x[0] for x in df.where((v >= F.lit(lo)) & (v <= F.lit(hi))).select(v).collect())[rank]
+    return lo
+
+
 def quantiles(long: DataFrame, keys: list, value: str, probs) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys``; nulls are left out."""
     counts = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))

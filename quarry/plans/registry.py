@@ -579,7 +579,7 @@ def q_anomaly_narrative(spark, sf):
 
 @query("anomaly_iforest")
 def q_anomaly_iforest(spark, sf):
-    cl = CL.clean_table(T.table(spark, sf, "lineitem"))
+    cl = CL.clean_table(T.table(spark, sf, "lineitem"), keep=True)
     prof = C.TableProfile.of(cl.df)
     feats = [c for c in prof.by_basic_role("numeric")]
     dom = P.domain_from_names(cl.df.columns)
@@ -678,10 +678,10 @@ def q_table_report_recs(spark, sf):
 
 @query("table_report_full")
 def q_table_report_full(spark, sf):
-    cl = CL.clean_table(T.table(spark, sf, "lineitem"))
+    cl = CL.clean_table(T.table(spark, sf, "lineitem"), keep=True)
     prof = C.TableProfile.of(cl.df)
     an = AN.anomaly_iforest(cl.df, prof.by_basic_role("numeric"), domain=P.domain_from_names(cl.df.columns))
-    r = RP.table_report(P.table_summary(cl.df), an)
+    r = RP.table_report(P.table_summary(cl.df, prof.stats(spark)), an)
     return r.select("executive_summary", F.array_join("key_insights", " || ").alias("key_insights"),
                     F.array_join("recommendations", " || ").alias("recommendations"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +62,10 @@ def materialize(df, eager: bool = True):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def as_table(df):
+    """The rows written once as a compressed table in the shared folder, to be read by column (no interval columns)."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"quarry-table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
